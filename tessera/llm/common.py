@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _reach(spark: SparkSession) -> None:
+    """Let Python workers of this machine import the package from where the driver did."""
+    root = str(Path(__file__).resolve().parents[2])
+    have = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, have]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,19 +82,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """A column of texts, null as empty, in buffers of its own.
+
+    Some kernels misread arrays whose buffers begin before their first element.
+    """
+    own = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return pa.concat_arrays([own, pa.array([], pa.large_string())])
 
 
 class Words:
     """The words of many texts as one flat array.
 
     ``ids`` index ``vocabulary``; the words of text i are
-    ``ids[offsets[i]:offsets[i + 1]]``.
+    ``ids[offsets[i]:offsets[i + 1]]``.  With ``lower`` the vocabulary has A-Z in
+    lower case and may hold a word more than once.
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        if lower:
-            texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
         flat = split.flatten()
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
@@ -93,7 +108,7 @@ class Words:
         coded = flat.filter(kept).dictionary_encode()
         self.offsets = before[bounds]
         self.ids = coded.indices.to_numpy(zero_copy_only=False)
-        self.vocabulary = coded.dictionary
+        self.vocabulary = pc.ascii_lower(coded.dictionary) if lower else coded.dictionary
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
