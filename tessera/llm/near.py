@@ -9,9 +9,8 @@ Documents of equal shingle sets are one class, and only class representatives
 take part.  A list never yields all its pairs: lists of two or three members
 give theirs, longer ones give a star per round, from each member to a pivot.
 When a round has merged what it can, only pairs across components are of
-interest; those that share long lists alone are found in the last step, which
-is exact: of the long lists a document enters only the rarest ones that it
-would have to share (prefix filter), in blocks.
+interest; those that share long lists alone are found in the last step, an
+exact prefix-filter join of the full sets of the documents that can have them.
 
 A link is lost only if a pair above the threshold shares fewer than the
 ``least_shared`` values of the k smallest of its union: for k = 64 and
@@ -104,10 +103,11 @@ def union_shares(a: np.ndarray, b: np.ndarray, k: int) -> int:
 
 
 def _passes(a: np.ndarray, b: np.ndarray, k: int, percent: int, floor: int) -> bool:
-    whole = len(a) < k and len(b) < k
+    if len(a) < k and len(b) < k:  # the sketches are the sets
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * shared >= percent * (len(a) + len(b) - shared)
     shared = union_shares(a, b, k)
-    union = len(a) + len(b) - shared
-    return 100 * shared >= percent * union if whole else shared >= min(floor, math.ceil(percent * min(k, union) / 100))
+    return shared >= min(floor, math.ceil(percent * min(k, len(a) + len(b) - shared) / 100))
 
 
 def _estimate(batches, k: int, percent: int, floor: int):
@@ -191,52 +191,73 @@ def _star(postings: DataFrame, labels: DataFrame | None, salt: int) -> DataFrame
     return have.join(pivots, "value").where(F.col("component") != F.col("of")).select(_pairs("row_id", "pivot").alias("p")).select("p.a", "p.b").distinct()
 
 
-def _block_pairs(batches, k: int, percent: int, floor: int):
-    """Pairs within or across two blocks of a list; ``batches`` hold one key's rows."""
-    rows = pa.Table.from_batches(list(batches))
-    side, ids, comp, size = (rows.column(c).to_numpy() for c in ("side", "row_id", "component", "n_shingles"))
-    at, values = _matrix(rows.column("sketch"))
-    one = rows.column("one").to_numpy(zero_copy_only=False)[0]
-    found: set[tuple[int, int]] = set()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    for i in left:
-        other = left[left > i] if one else right
-        other = other[(comp[other] != comp[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
-        for j in other:
-            if _passes(values[at[i] : at[i + 1]], values[at[j] : at[j + 1]], k, percent, floor):
-                found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
-    out = sorted(found)
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-
-
-def _rest(postings: DataFrame, labels: DataFrame, sketches: DataFrame, k: int, percent: int, floor: int) -> DataFrame:
-    """Pairs across components that share long lists only, by sketch estimate.
-
-    Such a pair shares ``need`` values of long lists at least, so each of the
-    two meets the other in the first ``own - need + 1`` of its long lists, the
-    rarest first.
+def _shared(at: np.ndarray, values: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of the sets ``rows`` with the sets ``columns``.
+
+    Values become columns of 0/1 matrices, ``width`` at a time; their products
+    count what two sets share.  Values of one set alone are left out.
+    """
+    _, code, times = np.unique(values, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    some = times[code] > 1
+    code, owner = (np.cumsum(times > 1) - 1)[code[some]], owner[some]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        a, b = np.searchsorted(code, [low, low + width])
+        dense = np.zeros((len(at) - 1, width), dtype=np.float32)
+        dense[owner[a:b], code[a:b] - low] = 1
+        out += dense[rows] @ dense[columns].T
+    return out
+
+
+def linked_pairs(ids: np.ndarray, component: np.ndarray, side: np.ndarray, one: bool, at: np.ndarray, values: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of different components within a block or across two."""
+    left = np.flatnonzero(side == 0)
+    right = left if one else np.flatnonzero(side == 1)
+    size, shared = np.diff(at), _shared(at, values, left, right)
+    hit = 100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)
+    hit &= component[left][:, None] != component[right][None, :]
+    return sorted({(int(min(a, b)), int(max(a, b))) for a, b in zip(*(x[k] for x, k in zip((ids[left], ids[right]), np.nonzero(hit))))})
+
+
+def _rest(postings: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int, floor: int) -> DataFrame:
+    """Links (a, b) across components that share long lists only; exact.
+
+    A pair that shares no short list has ``need`` values in long ones at least,
+    so only documents with as many take part.  Their full sets are joined by
+    the prefix filter: in the order of their frequency among these documents
+    two linked sets share one of the first ``size - ceil(percent% of size) + 1``
+    values.  Lists are met in blocks, in which matrix products count what the
+    sets share.
     """
     need = F.least(F.lit(floor), F.ceil(F.lit(percent / 100) * F.col("n_shingles")))
+    some = postings.groupBy("row_id", "n_shingles").agg(F.count("*").alias("own")).where(F.col("own") >= need)
+    some = cut(some.join(labels, some.row_id == labels.node, "left").select("row_id", F.coalesce("component", "row_id").alias("component")))
+    sets = cut(docs.join(some.select("row_id"), "row_id", "left_semi").mapInArrow(partial(_full_sets, n=n), "row_id long, shingles array<long>"))
+    every = sets.select("row_id", F.size("shingles").alias("size"), F.explode("shingles").alias("value"))
+    often = cut(every.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
     per_row = Window.partitionBy("row_id")
-    at = F.row_number().over(per_row.orderBy("n", "value"))
-    long = postings.withColumn("own", F.count("*").over(per_row)).withColumn("at", at).where((F.col("own") >= need) & (F.col("at") <= F.col("own") - need + 1))
-    long = long.join(labels, long.row_id == labels.node, "left").select("value", "row_id", "n_shingles", F.coalesce("component", "row_id").alias("component"))
-    lists = long.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("row_id").cast("decimal(38,0)")).alias("who"))
+    known = every.join(often, "value").withColumn("known", F.count("*").over(per_row)).withColumn("nth", F.row_number().over(per_row.orderBy("n", "value")))
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1
+    entered = cut(known.where(F.col("size") - F.col("known") + F.col("nth") <= prefix).select("value", "row_id").join(some, "row_id"))
+    lists = entered.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("row_id").cast("decimal(38,0)")).alias("who"))
     # lists of the same members count once
-    lists = lists.where("c0 <> c1").groupBy("m", "who").agg(F.min("value").alias("value"))
-    members = cut(cut(long).join(cut(lists.select("value", "m")), "value").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")))
-    if members.isEmpty():
-        return members.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+    lists = cut(lists.where("c0 <> c1").groupBy("m", "who").agg(F.min("value").alias("value")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("who"))
+    members = entered.join(lists, "value").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
     keyed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = keyed.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("one"), "row_id", "component")
-    keyed = keyed.join(sketches.select("row_id", "n_shingles", "sketch"), "row_id")
-    keyed = keyed.withColumn("group", F.struct("value", "x", "y"))
-    return keyed.groupBy("group").applyInArrow(partial(_block_table, k=k, percent=percent, floor=floor), "a long, b long").distinct()
+    keyed = keyed.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "row_id", "component")
+    keyed = keyed.join(sets, "row_id").withColumn("group", F.struct("value", "x", "y"))
 
+    def pairs_of(rows: pa.Table) -> pa.Table:
+        ids, component, side = (rows.column(c).to_numpy() for c in ("row_id", "component", "side"))
+        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+        at, values = _matrix(rows.column("shingles"))
+        found = linked_pairs(ids, component, side, x == y, at - at[0], values[at[0] : at[-1]], percent)
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
-def _block_table(rows: pa.Table, k: int, percent: int, floor: int) -> pa.Table:
-    return pa.Table.from_batches(_block_pairs(rows.to_batches(), k, percent, floor))
+    return cut(keyed.groupBy("group").applyInArrow(pairs_of, "a long, b long").distinct())
 
 
 def link(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int = K, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +286,7 @@ def link(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int =
             break
         links = links.union(more)
         labels = cut(components(links))
-    more = linker.confirmed(_rest(long, labels, sketches, k, percent, linker.floor))
+    more = _rest(long, labels, numbered.select("row_id", "text"), n, percent, linker.floor)
     if not more.isEmpty():
         labels = cut(components(links.union(more)))
     return rows.join(classes, "digest", "left").select("doc_id", "row_id", "n_shingles", "rep"), labels

@@ -70,8 +70,10 @@ def _anchor_rows(batches, length: int, gram: int):
             w = _Windows(part, length, gram)
             off = w.words.offsets
             text = np.array([xxhash.xxh3_64_intdigest(w.h[a:b].tobytes()) for a, b in zip(off, off[1:])], dtype=np.uint64)
-            pair = np.unique(np.stack([w.anchors(), text[w.of]], axis=1), axis=0) if len(w.of) else np.zeros((0, 2), dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].view(np.int64)), pa.array(pair[:, 1].view(np.int64))], names=["anchor", "text"])
+            anchor, of = w.anchors(), w.of
+            new = np.ones(len(of), dtype=bool)  # windows one behind the other mostly share their anchor
+            new[1:] = (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(text[of[new]].view(np.int64))], names=["anchor", "text"])
 
 
 def _window_rows(batches, hot, length: int, gram: int):
@@ -158,7 +160,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     hot = anchors.groupBy("anchor").agg(F.min("text").alias("t0"), F.max("text").alias("t1")).where("t0 <> t1")
     hot_filter = spark.sparkContext.broadcast(bloom(hot.select("anchor"), mixed=False))
 
-    windows = base.select("text", "ord").mapInArrow(partial(_window_rows, hot=hot_filter, **kinds), "window long, ord long")
+    windows = cut(base.select("text", "ord").mapInArrow(partial(_window_rows, hot=hot_filter, **kinds), "window long, ord long"))
     first = cut(windows.groupBy("window").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("window", "first"))
     covered = windows.join(first, "window").where(F.col("ord") > F.col("first"))
     covered = cut(covered.groupBy("ord").agg(F.collect_list("window").alias("windows")))
