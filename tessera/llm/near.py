@@ -141,9 +141,10 @@ class _Linker:
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` (a, b), each once, that the sketches of the union let pass."""
-        side = lambda x: self.sketches.select(F.col("row_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-        with_a = pairs.join(side("a"), "a")
-        both = with_a.join(side("b"), "b").where(_sizes_fit("n_a", "n_b", self.percent))
+        side = lambda x: self.sketches.select(F.col("row_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+        size = lambda x: self.sketches.select(F.col("row_id").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+        fit = pairs.join(size("a"), "a").join(size("b"), "b").where(_sizes_fit("n_a", "n_b", self.percent)).select("a", "b")
+        both = cut(fit).join(side("a"), "a").join(side("b"), "b")
         return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(partial(_estimate, k=self.k, percent=self.percent, floor=self.floor), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -176,19 +177,33 @@ def _short_lists(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return short, lists.where("n > 3").select("value", "n")
 
 
-def _star(postings: DataFrame, labels: DataFrame | None, salt: int) -> DataFrame:
-    """A pair from each member of a list to the list's pivot, of another component."""
-    have = postings
+def _long_lists(postings: DataFrame, long_values: DataFrame, percent: int, floor: int) -> DataFrame:
+    """The postings of long lists of the documents that may be linked by these alone.
+
+    A linked pair that shares no short list has ``need`` values in long ones at
+    least, so a document with fewer has none.
+    """
+    long = cut(postings.join(long_values, "value"))
+    need = F.least(F.lit(floor), F.ceil(F.lit(percent / 100) * F.col("n_shingles")))
+    some = long.groupBy("row_id", "n_shingles").agg(F.count("*").alias("own")).where(F.col("own") >= need).select("row_id")
+    return cut(long.join(cut(some), "row_id", "left_semi"))
+
+
+def _star(postings: DataFrame, labels: DataFrame | None, salt: int, percent: int) -> DataFrame:
+    """A pair from each member of a list to the list's pivot, of another component and a fitting size."""
+    have = postings.select("value", "row_id", "n_shingles")
     if labels is not None:
-        have = have.join(labels, have.row_id == labels.node, "left").select("value", "row_id", F.coalesce("component", "row_id").alias("component"))
+        have = have.join(labels, have.row_id == labels.node, "left").select("value", "row_id", "n_shingles", F.coalesce("component", "row_id").alias("component"))
         rank = F.xxhash64(F.lit(salt), "value", "row_id")
     else:
         have = have.withColumn("component", F.col("row_id"))
         rank = F.col("row_id")
-    pivots = have.groupBy("value").agg(F.min(F.struct(rank.alias("rank"), F.col("row_id").alias("pivot"), F.col("component").alias("of"))).alias("top"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    top = F.min(F.struct(rank.alias("rank"), F.col("row_id").alias("pivot"), F.col("component").alias("of"), F.col("n_shingles").alias("pivot_n")))
+    pivots = have.groupBy("value").agg(top.alias("top"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     # written, so that both sides of the join are plain exchanges and a long list can be split
-    pivots = cut(pivots.where("c0 <> c1").select("value", "top.pivot", "top.of"))
-    return have.join(pivots, "value").where(F.col("component") != F.col("of")).select(_pairs("row_id", "pivot").alias("p")).select("p.a", "p.b").distinct()
+    pivots = cut(pivots.where("c0 <> c1").select("value", "top.pivot", "top.of", "top.pivot_n"))
+    met = have.join(pivots, "value").where((F.col("component") != F.col("of")) & _sizes_fit("n_shingles", "pivot_n", percent))
+    return met.select(_pairs("row_id", "pivot").alias("p")).select("p.a", "p.b").distinct()
 
 
 def _shared(at: np.ndarray, values: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int = 2048) -> np.ndarray:
@@ -222,18 +237,16 @@ def linked_pairs(ids: np.ndarray, component: np.ndarray, side: np.ndarray, one:
     return sorted({(int(min(a, b)), int(max(a, b))) for a, b in zip(*(x[k] for x, k in zip((ids[left], ids[right]), np.nonzero(hit))))})
 
 
-def _rest(postings: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int, floor: int) -> DataFrame:
+def _rest(postings: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) across components that share long lists only; exact.
 
-    A pair that shares no short list has ``need`` values in long ones at least,
-    so only documents with as many take part.  Their full sets are joined by
-    the prefix filter: in the order of their frequency among these documents
-    two linked sets share one of the first ``size - ceil(percent% of size) + 1``
+    ``postings`` are those of ``_long_lists``.  The full sets of their documents
+    are joined by the prefix filter: in the order of frequency among these two
+    linked sets share one of the first ``size - ceil(percent% of size) + 1``
     values.  Lists are met in blocks, in which matrix products count what the
     sets share.
     """
-    need = F.least(F.lit(floor), F.ceil(F.lit(percent / 100) * F.col("n_shingles")))
-    some = postings.groupBy("row_id", "n_shingles").agg(F.count("*").alias("own")).where(F.col("own") >= need)
+    some = postings.select("row_id").distinct()
     some = cut(some.join(labels, some.row_id == labels.node, "left").select("row_id", F.coalesce("component", "row_id").alias("component")))
     sets = cut(docs.join(some.select("row_id"), "row_id", "left_semi").mapInArrow(partial(_full_sets, n=n), "row_id long, shingles array<long>"))
     every = sets.select("row_id", F.size("shingles").alias("size"), F.explode("shingles").alias("value"))
@@ -276,17 +289,17 @@ def link(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int =
     linker = _Linker(numbered.select("row_id", "text"), sketches, n, percent, k)
     postings = sketches.select("row_id", "n_shingles", F.explode("sketch").alias("value"))
     short, long_values = _short_lists(postings)
-    long = cut(postings.join(long_values, "value"))
-    candidates = short.union(_star(long.select("value", "row_id"), None, 0)).distinct()
+    long = _long_lists(postings, long_values, percent, linker.floor)
+    candidates = short.union(_star(long, None, 0, percent)).distinct()
     links = linker.confirmed(linker.estimated(candidates))
     labels = cut(components(links))
     for salt in range(1, rounds + 1):
-        more = linker.confirmed(linker.estimated(_star(long.select("value", "row_id"), labels, salt)))
+        more = linker.confirmed(linker.estimated(_star(long, labels, salt, percent)))
         if more.isEmpty():
             break
         links = links.union(more)
         labels = cut(components(links))
-    more = _rest(long, labels, numbered.select("row_id", "text"), n, percent, linker.floor)
+    more = _rest(long, labels, linker.docs, n, percent)
     if not more.isEmpty():
         labels = cut(components(links.union(more)))
     return rows.join(classes, "digest", "left").select("doc_id", "row_id", "n_shingles", "rep"), labels
