@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, cut, list_array, ngram_hashes, slices, texts_of
+from .common import Words, bloom, cut, list_array, may_hold, ngram_hashes, slices, texts_of
 from .components import components
 
 SHINGLE = 3
@@ -83,13 +83,26 @@ def _sketches(batches, n: int, k: int):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), list_array(values[pick].view(np.int64), bounds, pa.int64())], names=["doc_id", "row_id", "n_shingles", "digest", "sketch"])
 
 
-def _full_sets(batches, n: int):
+def _full_sets(batches, n: int, wanted):
     for batch in batches:
+        batch = batch.filter(pa.array(may_hold(wanted.value, batch.column("row_id").to_numpy(zero_copy_only=False))))
         for part in slices(batch, "text", 1 << 20):
             at, values = shingle_sets(Words(texts_of(part), lower=True), n)
             yield pa.RecordBatch.from_arrays([part.column("row_id"), list_array(values.view(np.int64), at, pa.int64())], names=["row_id", "shingles"])
 
 
+def full_sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(row_id, shingles) of the documents ``rows`` (row_id), each once.
+
+    A fixed-size filter of the rows is broadcast, so texts stay where they are;
+    only sets are shuffled, those of the few that pass by chance as well.
+    """
+    spark = docs.sparkSession
+    wanted = spark.sparkContext.broadcast(bloom(rows))
+    sets = docs.select("row_id", "text").mapInArrow(partial(_full_sets, n=n, wanted=wanted), "row_id long, shingles array<long>")
+    return cut(sets.join(rows, "row_id", "left_semi"))
+
+
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -150,9 +163,8 @@ class _Linker:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b) of 'pairs' whose full sets reach the threshold."""
         pairs = cut(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-        texts = self.docs.join(needed, "row_id", "left_semi")
-        sets = cut(texts.mapInArrow(partial(_full_sets, n=self.n), "row_id long, shingles array<long>"))
+        needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())
+        sets = full_sets(self.docs, needed, self.n)
         side = lambda x: sets.select(F.col("row_id").alias(x), F.col("shingles").alias(f"set_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
         return cut(both.mapInArrow(partial(_confirm, percent=self.percent), "a long, b long"))
@@ -248,7 +260,7 @@ def _rest(postings: DataFrame, labels: DataFrame, docs: DataFrame, n: int, perce
     """
     some = postings.select("row_id").distinct()
     some = cut(some.join(labels, some.row_id == labels.node, "left").select("row_id", F.coalesce("component", "row_id").alias("component")))
-    sets = cut(docs.join(some.select("row_id"), "row_id", "left_semi").mapInArrow(partial(_full_sets, n=n), "row_id long, shingles array<long>"))
+    sets = full_sets(docs, some.select("row_id"), n)
     every = sets.select("row_id", F.size("shingles").alias("size"), F.explode("shingles").alias("value"))
     often = cut(every.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
     per_row = Window.partitionBy("row_id")
