@@ -52,24 +52,24 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"{WORD}+"), F.lit(0))
 
 
-def _any_of(tokens: list[str]) -> str:
-    return rf"(?i)(?<!{WORD})(?:{'|'.join(sorted(tokens))})(?!{WORD})"
+def _needed(tokens: list[str], threshold: float) -> int:
+    return math.ceil(threshold * len(tokens) - 1e-9)
 
 
-def _phrase_regex() -> str:
-    gap = WORD.replace("[^", "[") + "+"
-    return rf"(?i)(?<!{WORD})(?:{'|'.join(gap.join(p.split()) for p in PHRASES)})(?!{WORD})"
+def held_tokens(text: Column, vocabulary: list[str]) -> tuple[Column, Column]:
+    """(number of words, tokens of ``vocabulary`` among them) of a text.
 
-
-def _needed(tokens: list[str], threshold: float) -> int:
-    return math.ceil(threshold * len(tokens) - 1e-9)
+    Lower case of letters beyond ASCII changes neither.
+    """
+    gap = WORD.replace("[^", "[") + "+"
+    parts = F.split(F.lower(text), gap)
+    blank = (F.element_at(parts, 1) == "").cast("int") + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return (F.size(parts) - blank).cast("long"), F.array_intersect(F.array(*map(F.lit, vocabulary)), parts)
 
 
-def token_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
+def token_order(held: DataFrame, vocabulary: list[str]) -> list[str]:
     """The templates' tokens from the rarest to the most frequent, by documents that hold them."""
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    held = F.array_intersect(F.array(*map(F.lit, vocabulary)), words(F.coalesce("text", F.lit(""))))
-    counts = docs.select(F.explode(held).alias("token")).groupBy("token").count().collect()  # the vocabulary at most
+    counts = held.select(F.explode("held").alias("token")).groupBy("token").count().collect()  # the vocabulary at most
     found = {r["token"]: r["count"] for r in counts}
     return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
 
@@ -119,16 +119,18 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD)
     without any) and score, the largest share of a template that a block holds,
     1 where a phrase stands.  Null texts are empty texts.
     """
-    order = token_order(docs, templates)
-    rank = {w: i for i, w in enumerate(order)}
-    first = set()
-    for _, t in templates:
-        own = sorted(set(t.split()), key=rank.get)
-        first |= set(own[: len(own) - _needed(own, threshold) + 1])
+    vocabulary = sorted({w for _, t in templates for w in t.split()} | {w for p in PHRASES for w in p.split()})
     text = F.coalesce("text", F.lit(""))
-    hit = text.rlike(_phrase_regex()) | text.rlike(_any_of(sorted(first)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.regexp_count(text, F.lit(f"{WORD}+")).cast("long").alias("n_words"), F.when(hit, text).alias("text"))
-    rows = cut(rows)
+    count, held = held_tokens(text, vocabulary)
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", count.alias("n_words"), held.alias("held"), text.alias("text"))
+    # what no block of a document can reach its words cannot either; only texts that may state something are kept
+    may = F.lit(False)
+    for t in [*(t for _, t in templates), *PHRASES]:
+        own = sorted(set(t.split()))
+        need = len(own) if t in PHRASES else _needed(own, threshold)
+        may = may | (F.size(F.array_intersect("held", F.array(*map(F.lit, own)))) >= need)
+    rows = cut(rows.select("row_id", "doc_id", "n_words", "held", F.when(may, F.col("text")).alias("text")))
+    order = token_order(rows, vocabulary)
     texts = rows.where("text is not null").select("row_id", "text")
     places = texts.select("row_id", words(F.col("text")).alias("w")).select("row_id", *[_starts(p).alias(f"p{i}") for i, p in enumerate(PHRASES)])
     found = F.concat(*[f"p{i}" for i in range(len(PHRASES))])
@@ -137,7 +139,7 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD)
     by_template = similar(blocks(texts), order, templates, threshold).groupBy("row_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     none = F.array().cast("array<string>")
     text_of = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
-    out = rows.drop("text").join(base, "row_id", "left").join(by_template, "row_id", "left")
+    out = rows.drop("text", "held").join(base, "row_id", "left").join(by_template, "row_id", "left")
     out = out.withColumn("base", F.coalesce("base", none)).withColumn("n_base", F.coalesce("n_base", F.lit(0)))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", text_of("base").alias("base_labels"), text_of(F.concat("base", F.coalesce("more", none))).alias("labels"), score.alias("score"))

@@ -91,6 +91,17 @@ def _full_sets(batches, n: int, wanted):
             yield pa.RecordBatch.from_arrays([part.column("row_id"), list_array(values.view(np.int64), at, pa.int64())], names=["row_id", "shingles"])
 
 
+def _holding(batches, wanted):
+    for batch in batches:
+        yield batch.filter(pa.array(may_hold(wanted.value, batch.column("row_id").to_numpy(zero_copy_only=False))))
+
+
+def holding(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """``df`` without most of the rows that ``rows`` (row_id) does not name, so that a join moves few."""
+    wanted = df.sparkSession.sparkContext.broadcast(bloom(rows))
+    return df.mapInArrow(partial(_holding, wanted=wanted), df.schema)
+
+
 def full_sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """(row_id, shingles) of the documents ``rows`` (row_id), each once.
 
@@ -154,10 +165,11 @@ class _Linker:
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` (a, b), each once, that the sketches of the union let pass."""
-        side = lambda x: self.sketches.select(F.col("row_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
         size = lambda x: self.sketches.select(F.col("row_id").alias(x), F.col("n_shingles").alias(f"n_{x}"))
-        fit = pairs.join(size("a"), "a").join(size("b"), "b").where(_sizes_fit("n_a", "n_b", self.percent)).select("a", "b")
-        both = cut(fit).join(side("a"), "a").join(side("b"), "b")
+        fit = cut(pairs.join(size("a"), "a").join(size("b"), "b").where(_sizes_fit("n_a", "n_b", self.percent)).select("a", "b"))
+        met = holding(self.sketches, fit.select(F.explode(F.array("a", "b")).alias("row_id")))
+        side = lambda x: met.select(F.col("row_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+        both = fit.join(side("a"), "a").join(side("b"), "b")
         return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(partial(_estimate, k=self.k, percent=self.percent, floor=self.floor), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -291,11 +303,13 @@ def link(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int =
     ``rows`` has doc_id, row_id, n_shingles, digest; ``labels`` maps row_id of
     representatives to their component.
     """
-    from .common import shared_dir
-
-    shared_dir(docs.sparkSession)
-    numbered = cut(docs.select("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id()))
-    rows = cut(numbered.mapInArrow(partial(_sketches, n=n, k=k), "doc_id long, row_id long, n_shingles long, digest binary, sketch array<long>"))
+    base = docs.select("doc_id", "text")
+    schema = "doc_id long, row_id long, n_shingles long, digest binary, sketch array<long>"
+    numbered = base.withColumn("row_id", F.col("doc_id"))
+    ids = base.select("doc_id").agg(F.count("*"), F.count_distinct("doc_id"), F.coalesce(F.max(F.abs(F.col("doc_id").cast("decimal(20,0)"))), F.lit(0))).first()
+    if ids[0] != ids[1] or ids[2] >= 1 << 60:  # ids do not tell rows apart: a written copy numbers them
+        numbered = cut(base.withColumn("row_id", F.monotonically_increasing_id()))
+    rows = cut(numbered.mapInArrow(partial(_sketches, n=n, k=k), schema))
     classes = cut(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("rep")))
     sketches = cut(rows.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "n_shingles", "sketch"))
     linker = _Linker(numbered.select("row_id", "text"), sketches, n, percent, k)
