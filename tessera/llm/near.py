@@ -36,6 +36,7 @@ SHINGLE = 3
 PERCENT = 85
 K = 64
 BLOCK = 256
+STAR_SHARE = 8
 
 
 def least_shared(k: int, percent: int) -> int:
@@ -167,7 +168,7 @@ class _Linker:
         """``pairs`` (a, b), each once, that the sketches of the union let pass."""
         size = lambda x: self.sketches.select(F.col("row_id").alias(x), F.col("n_shingles").alias(f"n_{x}"))
         fit = cut(pairs.join(size("a"), "a").join(size("b"), "b").where(_sizes_fit("n_a", "n_b", self.percent)).select("a", "b"))
-        met = holding(self.sketches, fit.select(F.explode(F.array("a", "b")).alias("row_id")))
+        met = holding(self.sketches, _ends(fit))
         side = lambda x: met.select(F.col("row_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
         both = fit.join(side("a"), "a").join(side("b"), "b")
         return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(partial(_estimate, k=self.k, percent=self.percent, floor=self.floor), "a long, b long")
@@ -175,13 +176,17 @@ class _Linker:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b) of 'pairs' whose full sets reach the threshold."""
         pairs = cut(pairs)
-        needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())
+        needed = cut(_ends(pairs).distinct())
         sets = full_sets(self.docs, needed, self.n)
         side = lambda x: sets.select(F.col("row_id").alias(x), F.col("shingles").alias(f"set_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
         return cut(both.mapInArrow(partial(_confirm, percent=self.percent), "a long, b long"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("row_id")).union(pairs.select(F.col("b").alias("row_id")))
+
+
 def _pairs(a, b):
     return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
@@ -214,8 +219,12 @@ def _long_lists(postings: DataFrame, long_values: DataFrame, percent: int, floor
 
 
 def _star(postings: DataFrame, labels: DataFrame | None, salt: int, percent: int) -> DataFrame:
-    """A pair from each member of a list to the list's pivot, of another component and a fitting size."""
-    have = postings.select("value", "row_id", "n_shingles")
+    """A pair from each member of a list to the list's pivot, of another component and a fitting size.
+
+    A round takes one part of the lists in STAR_SHARE; it merges what is easily
+    merged, and ``_rest`` finds every link that the rounds leave.
+    """
+    have = postings.where(F.pmod(F.xxhash64("value"), F.lit(STAR_SHARE)) == salt % STAR_SHARE).select("value", "row_id", "n_shingles")
     if labels is not None:
         have = have.join(labels, have.row_id == labels.node, "left").select("value", "row_id", "n_shingles", F.coalesce("component", "row_id").alias("component"))
         rank = F.xxhash64(F.lit(salt), "value", "row_id")
