@@ -41,7 +41,7 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("reserved", "all rights reserved"),
 )
-THRESHOLD = 0.8
+THRESHOLD = 0.85
 BLOCK_WORDS = 40
 #: A word, as a Java regex class body: digits, ASCII letters, all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"

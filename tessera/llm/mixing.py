@@ -91,7 +91,7 @@ def schedule(docs: DataFrame, *, key: list[str] = ("doc_id",), divide: bool = Tr
     else:
         take = F.when(2 * (F.col("target") - begin) >= F.col("size"), F.col("size")).otherwise(F.lit(0))
     entries = entries.withColumn("take", take.cast("long")).where((F.col("take") > 0) | (F.col("epoch") == 0))
-    entries = entries.withColumn("virtual_finish", (begin + F.col("size")) / F.col("target"))
+    entries = entries.withColumn("virtual_finish", (begin + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0)))
     return _truncated(entries, slots)
 
 
