@@ -25,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,6 +116,13 @@ def full_sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     return cut(sets.join(rows, "row_id", "left_semi"))
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of a column of lists, wherever its buffers begin."""
+    own = column.combine_chunks()
+    held = pc.list_value_length(own).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(held)]).astype(np.int64), own.flatten().to_numpy(zero_copy_only=False)
+
+
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -260,25 +268,41 @@ def _shared(at: np.ndarray, values: np.ndarray, rows: np.ndarray, columns: np.nd
     return out
 
 
-def linked_pairs(ids: np.ndarray, component: np.ndarray, side: np.ndarray, one: bool, at: np.ndarray, values: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Linked pairs of different components within a block or across two."""
+def likely_pairs(ids: np.ndarray, component: np.ndarray, size: np.ndarray, side: np.ndarray, one: bool, at: np.ndarray, values: np.ndarray, k: int, percent: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components within a block or across two that sketches and sizes let pass.
+
+    ``values`` are short forms of the sketches' values; one may be lost where
+    two of a sketch have the same form, hence the allowance of one.
+    """
     left = np.flatnonzero(side == 0)
     right = left if one else np.flatnonzero(side == 1)
-    size, shared = np.diff(at), _shared(at, values, left, right)
-    hit = 100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)
+    held = np.diff(at)
+    na, nb = held[left][:, None], held[right][None, :]
+    shared = _shared(at, values, left, right) + 1
+    union = na + nb - shared
+    small = (na < k) & (nb < k)  # the sketches are the sets
+    need = np.where(small, percent * union / 100, np.minimum(floor, np.ceil(percent * np.minimum(k, union) / 100)))
+    hit = shared >= need
+    a, b = size[left][:, None], size[right][None, :]
+    hit &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
     hit &= component[left][:, None] != component[right][None, :]
-    return sorted({(int(min(a, b)), int(max(a, b))) for a, b in zip(*(x[k] for x, k in zip((ids[left], ids[right]), np.nonzero(hit))))})
+    if one:
+        hit = np.triu(hit)
+    x, y = (ids[of[k]] for of, k in zip((left, right), np.nonzero(hit)))
+    return np.minimum(x, y), np.maximum(x, y)
 
 
-def _rest(postings: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) across components that share long lists only; exact.
+def _rest(postings: DataFrame, labels: DataFrame, linker: _Linker) -> DataFrame:
+    """Links (a, b) across components that share long lists only.
 
     ``postings`` are those of ``_long_lists``.  The full sets of their documents
-    are joined by the prefix filter: in the order of frequency among these two
-    linked sets share one of the first ``size - ceil(percent% of size) + 1``
-    values.  Lists are met in blocks, in which matrix products count what the
-    sets share.
+    pass the prefix filter: in the order of frequency among these two linked
+    sets share one of the first ``size - ceil(percent% of size) + 1`` values.
+    Lists are met in blocks, in which matrix products count what the sketches
+    share, in short forms of 32 bits; full sets move for the pairs alone that
+    these let pass.
     """
+    docs, n, percent = linker.docs, linker.n, linker.percent
     some = postings.select("row_id").distinct()
     some = cut(some.join(labels, some.row_id == labels.node, "left").select("row_id", F.coalesce("component", "row_id").alias("component")))
     sets = full_sets(docs, some.select("row_id"), n)
@@ -291,19 +315,20 @@ def _rest(postings: DataFrame, labels: DataFrame, docs: DataFrame, n: int, perce
     lists = entered.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("row_id").cast("decimal(38,0)")).alias("who"))
     # lists of the same members count once
     lists = cut(lists.where("c0 <> c1").groupBy("m", "who").agg(F.min("value").alias("value")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("who"))
+    brief = cut(linker.sketches.join(some, "row_id", "left_semi").select("row_id", "n_shingles", F.transform("sketch", lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")).alias("brief")))
     members = entered.join(lists, "value").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
     keyed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = keyed.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "row_id", "component")
-    keyed = keyed.join(sets, "row_id").withColumn("group", F.struct("value", "x", "y"))
+    keyed = keyed.join(brief, "row_id").withColumn("group", F.struct("value", "x", "y"))
+    floor, k = linker.floor, linker.k
 
     def pairs_of(rows: pa.Table) -> pa.Table:
-        ids, component, side = (rows.column(c).to_numpy() for c in ("row_id", "component", "side"))
-        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
-        at, values = _matrix(rows.column("shingles"))
-        found = linked_pairs(ids, component, side, x == y, at - at[0], values[at[0] : at[-1]], percent)
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+        ids, component, size, side = (rows.column(c).to_numpy() for c in ("row_id", "component", "n_shingles", "side"))
+        at, values = _flat(rows.column("brief"))
+        a, b = likely_pairs(ids, component, size, side, rows.column("x")[0].as_py() == rows.column("y")[0].as_py(), at, values, k, percent, floor)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cut(keyed.groupBy("group").applyInArrow(pairs_of, "a long, b long").distinct())
+    return linker.confirmed(linker.estimated(cut(keyed.groupBy("group").applyInArrow(pairs_of, "a long, b long").distinct())))
 
 
 def link(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int = K, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -334,7 +359,7 @@ def link(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int =
             break
         links = links.union(more)
         labels = cut(components(links))
-    more = _rest(long, labels, linker.docs, n, percent)
+    more = _rest(long, labels, linker)
     if not more.isEmpty():
         labels = cut(components(links.union(more)))
     return rows.join(classes, "digest", "left").select("doc_id", "row_id", "n_shingles", "rep"), labels
