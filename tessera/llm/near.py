@@ -37,6 +37,7 @@ SHINGLE = 3
 PERCENT = 85
 K = 64
 BLOCK = 256
+WHOLE = 256
 STAR_SHARE = 8
 
 
@@ -269,26 +270,32 @@ def _shared(at: np.ndarray, values: np.ndarray, rows: np.ndarray, columns: np.nd
 
 
 def likely_pairs(ids: np.ndarray, component: np.ndarray, size: np.ndarray, side: np.ndarray, one: bool, at: np.ndarray, values: np.ndarray, k: int, percent: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components within a block or across two that sketches and sizes let pass.
+    """Pairs of different components within a block or across two that may be linked.
 
-    ``values`` are short forms of the sketches' values; one may be lost where
-    two of a sketch have the same form, hence the allowance of one.
+    ``values`` are short forms of whole sets or, of larger ones, of sketches.
+    One may be lost where two of a text have the same form, hence the allowance
+    of one.
     """
     left = np.flatnonzero(side == 0)
     right = left if one else np.flatnonzero(side == 1)
-    held = np.diff(at)
-    na, nb = held[left][:, None], held[right][None, :]
-    shared = _shared(at, values, left, right) + 1
-    union = na + nb - shared
-    small = (na < k) & (nb < k)  # the sketches are the sets
-    need = np.where(small, percent * union / 100, np.minimum(floor, np.ceil(percent * np.minimum(k, union) / 100)))
-    hit = shared >= need
     a, b = size[left][:, None], size[right][None, :]
-    hit &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    hit = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
     hit &= component[left][:, None] != component[right][None, :]
     if one:
         hit = np.triu(hit)
-    x, y = (ids[of[k]] for of, k in zip((left, right), np.nonzero(hit)))
+    whole = np.diff(at) == size
+    both = whole[left][:, None] & whole[right][None, :]
+    if (hit & both).any():
+        shared = _shared(at, values, left, right) + 1
+        hit &= ~both | (100 * shared >= percent * (a + b - shared))
+    if (hit & ~both).any():  # the smallest k come first in whole sets too
+        held = np.minimum(np.diff(at), k)
+        bounds = np.concatenate([[0], np.cumsum(held)])
+        pick = np.arange(bounds[-1]) + np.repeat(at[:-1] - bounds[:-1], held)
+        shared = _shared(bounds, values[pick], left, right) + 1
+        union = np.minimum(k, held[left][:, None] + held[right][None, :] - shared)
+        hit &= both | (shared >= np.minimum(floor, np.ceil(percent * union / 100)))
+    x, y = (ids[of[at]] for of, at in zip((left, right), np.nonzero(hit)))
     return np.minimum(x, y), np.maximum(x, y)
 
 
@@ -298,11 +305,11 @@ def _rest(postings: DataFrame, labels: DataFrame, linker: _Linker) -> DataFrame:
     ``postings`` are those of ``_long_lists``.  The full sets of their documents
     pass the prefix filter: in the order of frequency among these two linked
     sets share one of the first ``size - ceil(percent% of size) + 1`` values.
-    Lists are met in blocks, in which matrix products count what the sketches
-    share, in short forms of 32 bits; full sets move for the pairs alone that
-    these let pass.
+    Lists are met in blocks, in which matrix products count what is shared by
+    sets of up to WHOLE values, of larger ones by sketches, in short forms of 32
+    bits; full sets move for the pairs alone that these let pass.
     """
-    docs, n, percent = linker.docs, linker.n, linker.percent
+    docs, n, percent, k, floor = linker.docs, linker.n, linker.percent, linker.k, linker.floor
     some = postings.select("row_id").distinct()
     some = cut(some.join(labels, some.row_id == labels.node, "left").select("row_id", F.coalesce("component", "row_id").alias("component")))
     sets = full_sets(docs, some.select("row_id"), n)
@@ -315,12 +322,12 @@ def _rest(postings: DataFrame, labels: DataFrame, linker: _Linker) -> DataFrame:
     lists = entered.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("row_id").cast("decimal(38,0)")).alias("who"))
     # lists of the same members count once
     lists = cut(lists.where("c0 <> c1").groupBy("m", "who").agg(F.min("value").alias("value")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("who"))
-    brief = cut(linker.sketches.join(some, "row_id", "left_semi").select("row_id", "n_shingles", F.transform("sketch", lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")).alias("brief")))
+    length = F.when(F.size("shingles") <= WHOLE, F.size("shingles")).otherwise(F.least(F.lit(k), F.size("shingles")))
+    brief = cut(sets.select("row_id", F.size("shingles").alias("n_shingles"), F.transform(F.slice("shingles", F.lit(1), length), lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")).alias("brief")))
     members = entered.join(lists, "value").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
     keyed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = keyed.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "row_id", "component")
     keyed = keyed.join(brief, "row_id").withColumn("group", F.struct("value", "x", "y"))
-    floor, k = linker.floor, linker.k
 
     def pairs_of(rows: pa.Table) -> pa.Table:
         ids, component, size, side = (rows.column(c).to_numpy() for c in ("row_id", "component", "n_shingles", "side"))
