@@ -38,6 +38,7 @@ PERCENT = 85
 K = 64
 BLOCK = 256
 WHOLE = 256
+HELD_LISTS = 64
 STAR_SHARE = 8
 
 
@@ -269,12 +270,14 @@ def _shared(at: np.ndarray, values: np.ndarray, rows: np.ndarray, columns: np.nd
     return out
 
 
-def likely_pairs(ids: np.ndarray, component: np.ndarray, size: np.ndarray, side: np.ndarray, one: bool, at: np.ndarray, values: np.ndarray, k: int, percent: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
+def likely_pairs(ids: np.ndarray, component: np.ndarray, size: np.ndarray, side: np.ndarray, one: bool, brief: tuple, earlier: tuple, k: int, percent: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different components within a block or across two that may be linked.
 
-    ``values`` are short forms of whole sets or, of larger ones, of sketches.
+    ``brief``, (offsets, values), has short forms of whole sets or, of larger ones, of the ``k``
+    smallest, of which a linked pair shares ``floor`` (see ``least_shared``).
     One may be lost where two of a text have the same form, hence the allowance
-    of one.
+    of one.  ``earlier`` has the lists before this one that each is in; a pair
+    that shares one is met there.
     """
     left = np.flatnonzero(side == 0)
     right = left if one else np.flatnonzero(side == 1)
@@ -283,18 +286,17 @@ def likely_pairs(ids: np.ndarray, component: np.ndarray, size: np.ndarray, side:
     hit &= component[left][:, None] != component[right][None, :]
     if one:
         hit = np.triu(hit)
-    whole = np.diff(at) == size
-    both = whole[left][:, None] & whole[right][None, :]
-    if (hit & both).any():
-        shared = _shared(at, values, left, right) + 1
-        hit &= ~both | (100 * shared >= percent * (a + b - shared))
-    if (hit & ~both).any():  # the smallest k come first in whole sets too
-        held = np.minimum(np.diff(at), k)
-        bounds = np.concatenate([[0], np.cumsum(held)])
-        pick = np.arange(bounds[-1]) + np.repeat(at[:-1] - bounds[:-1], held)
-        shared = _shared(bounds, values[pick], left, right) + 1
-        union = np.minimum(k, held[left][:, None] + held[right][None, :] - shared)
-        hit &= both | (shared >= np.minimum(floor, np.ceil(percent * union / 100)))
+    if hit.any():
+        hit &= _shared(*earlier, left, right) == 0
+    if not hit.any():
+        return ids[:0], ids[:0]
+    held = np.diff(brief[0])
+    na, nb = held[left][:, None], held[right][None, :]
+    shared = _shared(*brief, left, right) + 1
+    union = na + nb - shared
+    whole = held == size
+    sketched = shared >= np.minimum(floor, np.ceil(percent * np.minimum(k, union) / 100))
+    hit &= np.where(whole[left][:, None] & whole[right][None, :], 100 * shared >= percent * union, sketched)
     x, y = (ids[of[at]] for of, at in zip((left, right), np.nonzero(hit)))
     return np.minimum(x, y), np.maximum(x, y)
 
@@ -306,10 +308,11 @@ def _rest(postings: DataFrame, labels: DataFrame, linker: _Linker) -> DataFrame:
     pass the prefix filter: in the order of frequency among these two linked
     sets share one of the first ``size - ceil(percent% of size) + 1`` values.
     Lists are met in blocks, in which matrix products count what is shared by
-    sets of up to WHOLE values, of larger ones by sketches, in short forms of 32
-    bits; full sets move for the pairs alone that these let pass.
+    sets of up to WHOLE values, of larger ones by their WHOLE smallest, in short
+    forms of 32 bits; full sets move for the pairs alone that these let pass.
     """
-    docs, n, percent, k, floor = linker.docs, linker.n, linker.percent, linker.k, linker.floor
+    docs, n, percent, k = linker.docs, linker.n, linker.percent, WHOLE
+    floor = least_shared(k, percent)
     some = postings.select("row_id").distinct()
     some = cut(some.join(labels, some.row_id == labels.node, "left").select("row_id", F.coalesce("component", "row_id").alias("component")))
     sets = full_sets(docs, some.select("row_id"), n)
@@ -322,20 +325,25 @@ def _rest(postings: DataFrame, labels: DataFrame, linker: _Linker) -> DataFrame:
     lists = entered.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("row_id").cast("decimal(38,0)")).alias("who"))
     # lists of the same members count once
     lists = cut(lists.where("c0 <> c1").groupBy("m", "who").agg(F.min("value").alias("value")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("who"))
-    length = F.when(F.size("shingles") <= WHOLE, F.size("shingles")).otherwise(F.least(F.lit(k), F.size("shingles")))
-    brief = cut(sets.select("row_id", F.size("shingles").alias("n_shingles"), F.transform(F.slice("shingles", F.lit(1), length), lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")).alias("brief")))
+    brief = cut(sets.select("row_id", F.size("shingles").alias("n_shingles"), F.transform(F.slice("shingles", 1, k), lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")).alias("brief")))
     members = entered.join(lists, "value").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
     keyed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = keyed.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "row_id", "component")
-    keyed = keyed.join(brief, "row_id").withColumn("group", F.struct("value", "x", "y"))
+    # the smallest lists of a document tell in which of several lists a pair is met first
+    smallest = cut(entered.join(lists, "value").groupBy("row_id").agg(F.sort_array(F.collect_list("value")).alias("in_lists")).select("row_id", F.slice("in_lists", 1, HELD_LISTS).alias("in_lists")))
+    keyed = keyed.join(brief.join(smallest, "row_id"), "row_id").withColumn("group", F.struct("value", "x", "y"))
 
     def pairs_of(rows: pa.Table) -> pa.Table:
         ids, component, size, side = (rows.column(c).to_numpy() for c in ("row_id", "component", "n_shingles", "side"))
         at, values = _flat(rows.column("brief"))
-        a, b = likely_pairs(ids, component, size, side, rows.column("x")[0].as_py() == rows.column("y")[0].as_py(), at, values, k, percent, floor)
+        before, lists_ = _flat(rows.column("in_lists"))
+        earlier = lists_ < rows.column("value")[0].as_py()
+        before = np.concatenate([[0], np.cumsum(earlier)])[before]
+        one = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
+        a, b = likely_pairs(ids, component, size, side, one, (at, values), (before, lists_[earlier]), k, percent, floor)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return linker.confirmed(linker.estimated(cut(keyed.groupBy("group").applyInArrow(pairs_of, "a long, b long").distinct())))
+    return linker.confirmed(keyed.groupBy("group").applyInArrow(pairs_of, "a long, b long").distinct())
 
 
 def link(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int = K, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
