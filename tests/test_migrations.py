@@ -133,3 +133,29 @@ def test_catalog_and_neutral():
     with pytest.raises(MigrationError):
         Runner(None, "", [First, type("Other", (Migration,), {"version": 10})])
     assert operations_of("GRANT SELECT ON t TO x") == [Neutral("GRANT SELECT ON t TO x")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessera.__main__ import main
+
+    module = ["--module", __name__]
+    assert main(["list", *module]) == 0 and "40 Broken forward only" in capsys.readouterr().out
+    root = ["--root", str(tmp_path)]
+    assert main(["up", *module, *root, "--target", "20"]) == 0 and capsys.readouterr().out == "10 20\n"
+    assert main(["status", *module, *root]) == 0
+    assert [line.split()[2] for line in capsys.readouterr().out.splitlines()] == ["applied", "applied", "pending", "pending"]
+    assert main(["down", *module, *root, "--target", "10", "--dry-run"]) == 0 and "DROP COLUMN" in capsys.readouterr().out
+    assert main(["down", *module, *root, "--target", "15"]) == 1
+
+
+def test_check_command(spark, capsys):
+    import os
+
+    from tessera.__main__ import main
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    where = ["check", "--folder", data, "--tables", "nation,region"]
+    assert main([*where, "SELECT n_name FROM nation"]) == 0 and "n_name" in capsys.readouterr().out
+    assert main([*where, "SELECT n_nam FROM nation"]) == 1 and "SQL203" in capsys.readouterr().out
