@@ -180,3 +180,22 @@ def test_sharding(spark, docs, tmp_path):
     assert store.read(before["version"]).count() == 3 * len(TEXTS)
     with pytest.raises(sharding.ManifestConflict):
         store._commit(before, [], after["schema"])
+
+
+def test_sharding_of_several_groups_in_a_round(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path / "data" / "a b"), target_bytes=64 << 10, base_bytes=1 << 10)
+    rows = spark.range(4000).withColumn("text", F.sha2(F.col("id").cast("string"), 256))
+    store.append(rows.repartition(16))
+    assert len(store.plan(store.manifest()["shards"])) > 1
+    after = store.settle()
+    store.vacuum()
+    assert sum(s["rows"] for s in after["shards"]) == 4000 and len({s["path"] for s in after["shards"]}) == len(after["shards"]) < 16
+    found = store.read()
+    assert found.count() == 4000 and found.drop("shard").exceptAll(rows).count() == 0
+    assert found.select("shard").distinct().count() == len(after["shards"])
+    for _ in range(2):
+        store.append(rows.repartition(16))
+    listed = store._listed
+    monkeypatch.setattr(store, "_listed", lambda folder: listed(folder)[1:])
+    with pytest.raises(RuntimeError):
+        store.settle()
