@@ -148,6 +148,15 @@ def test_quality(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_rejects_letter_gibberish(spark):
+    made = lambda i, j: "".join(chr(97 + b % 26) for b in hashlib.sha256(f"{i} {j}".encode()).digest()[:7])
+    common = quality.COMMON_WORDS[:30]
+    rows = [(i, " ".join(common[(i + j // 10 * 3 + j % 10) % 30] if j % 10 < 3 else made(i, j) for j in range(200)), "en") for i in range(40)]
+    rows.append((40, " ".join(made(40, j) for j in range(200)), "en"))
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not found[40].base_failed and not found[40].kept and all(found[i].kept for i in range(40))
+
+
 def test_secrets(docs, empty):
     rows = {r.doc_id: r for r in secrets.scan(docs).collect()}
     assert (rows[8].n_assign, rows[8].n_access, rows[8].n_hex) == (1, 1, 1) and rows[4].spans == ""
