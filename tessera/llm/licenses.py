@@ -1,7 +1,8 @@
 """Licence statements by an exact set-similarity join with templates.
 
-Text blocks (lines, long ones in overlapping windows) are joined with the token
-sets of licence templates: a block belongs to a template if it contains at
+Text blocks (lines and, for statements that go over several lines, whole texts;
+long ones in overlapping windows) are joined with the token sets of licence
+templates: a block belongs to a template if it contains at
 least ``THRESHOLD`` of its tokens.  The tokens are ordered by their frequency in
 all documents, the rarest first.  A block that reaches the threshold holds one
 of the first ``|T| - need + 1`` tokens of the template (prefix filter), has
@@ -75,9 +76,10 @@ def token_order(held: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def blocks(texts: DataFrame) -> DataFrame:
-    """(row_id, block, tokens): lines in windows of BLOCK_WORDS words, half overlapping."""
+    """(row_id, block, tokens): lines, and texts of several lines as a whole, in windows of BLOCK_WORDS words, half overlapping."""
     step = BLOCK_WORDS // 2
-    lines = texts.select("row_id", F.explode(F.split("text", "\n")).alias("line"))
+    whole = F.when(F.contains("text", F.lit("\n")), F.array("text")).otherwise(F.array().cast("array<string>"))
+    lines = texts.select("row_id", F.explode(F.concat(F.split("text", "\n"), whole)).alias("line"))
     lines = lines.select("row_id", words(F.col("line")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - step), F.lit(step))
     parts = lines.select("row_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, BLOCK_WORDS))).alias("tokens"))

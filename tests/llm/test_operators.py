@@ -141,6 +141,17 @@ def test_licenses(docs, empty):
     assert (rows[4].n_words, rows[4].labels, rows[4].first_word) == (0, "", None) and licenses.scan(empty).count() == 0
 
 
+def test_licenses_over_several_lines(spark):
+    rows = [
+        (1, "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that", "bsd"),
+        (2, "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public\n// License", "gpl"),
+        (3, "filler " * 31 + "\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n" + "more " * 50, "apache"),
+        (4, "released under\n" + "filler " * 60 + "\nthe bsd license", ""),
+    ]
+    found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert [set(filter(None, found[i].split(","))) >= {x} if x else found[i] == x for i, _, x in rows] == [True] * len(rows)
+
+
 def test_quality(docs, empty):
     rows = {r.doc_id: r for r in quality.judge(docs).collect()}
     assert rows[7].n_words == 3000 and rows[7].n_repeat_words == 3000 and rows[7].base_failed and not rows[7].kept
