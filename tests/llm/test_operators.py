@@ -177,6 +177,13 @@ def test_secrets(docs, empty):
     assert secrets.lexed_spans("color = 'S3cr3t-Value-99'") == []
 
 
+@pytest.mark.parametrize("name", [*secrets.SENSITIVE, "DB_PASS", "smtp_pass", "encryption_key", "signing_key", "ssh_key", "dbpwd", "sshkey"])
+def test_secrets_of_each_listed_name(name):
+    text = f"{name} = 'q7Xv-R2m9_Lz4KtB8wNp'"
+    assert [text[a:b] for a, b, _ in secrets.lexed_spans(text)] == ["q7Xv-R2m9_Lz4KtB8wNp"]
+    assert secrets.lexed_spans(f"{name} = 'aaaaaaaaaa'") == [] and secrets.lexed_spans("colour = 'q7Xv-R2m9_Lz4KtB8wNp'") == []
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs, labels).where("predicted = 1").count() == 0 and toxicity.score(empty, labels).count() == 0
