@@ -184,6 +184,14 @@ def test_secrets_of_each_listed_name(name):
     assert secrets.lexed_spans(f"{name} = 'aaaaaaaaaa'") == [] and secrets.lexed_spans("colour = 'q7Xv-R2m9_Lz4KtB8wNp'") == []
 
 
+def test_secrets_behind_many_aliases(spark):
+    chain = "N0 = 'S3cr3t-Value-99'\n" + "".join(f"N{i + 1} = N{i}\n" for i in range(40)) + "password = N40\nN3 = N7\n"
+    assert [chain[a:b] for a, b, _ in secrets.lexed_spans(chain)] == ["S3cr3t-Value-99"]
+    rows = [(1, chain), (2, "api_access = 'q7Xv-R2m9_Lz4KtB8wNp'"), (3, "accessApi: 'q7Xv-R2m9_Lz4KtB8wNp'")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all("pair:" in r.spans for r in found) and len(found) == 3
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs, labels).where("predicted = 1").count() == 0 and toxicity.score(empty, labels).count() == 0
