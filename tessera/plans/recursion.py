@@ -10,8 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROUNDS = 1000
-
 
 def _split(sql: str, name: str) -> tuple[str, str, str, str]:
     """(column list, seed, step, rest) of ``WITH RECURSIVE name(columns) AS (...) rest``."""
@@ -53,7 +51,7 @@ def fixpoint(spark: SparkSession, found, args: dict) -> DataFrame:
     from ..sources.scratch import written
 
     every = fresh = written(run(seed).toDF(*names).distinct())
-    for _ in range(ROUNDS):
+    while True:  # until a round adds nothing
         fresh.createOrReplaceTempView(name)
         more = run(step).toDF(*names).distinct()
         known = None

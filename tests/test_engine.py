@@ -140,3 +140,11 @@ def test_parameters_are_checked_and_stay_values(engine):
     assert by_id(id=3) == ["three"]
     with pytest.raises(QueryError):
         engine.define("by_id", "SELECT 1")
+
+
+def test_recursion_goes_on_until_a_round_adds_nothing(engine, monkeypatch):
+    from tessera.plans import recursion
+
+    monkeypatch.setattr(recursion, "ROUNDS", 2, raising=False)  # any bound on rounds loses levels
+    rows = engine.sql("WITH RECURSIVE n AS (SELECT 1 AS v UNION SELECT n.v + 1 FROM n WHERE n.v < 6) SELECT v FROM n ORDER BY v").collect()
+    assert [r.v for r in rows] == [1, 2, 3, 4, 5, 6]
