@@ -47,7 +47,7 @@ STAGES = [
     ("pack", pack_sequences),
 ]
 
-#: Learning and tokenizing have no SQL; tests compare each stage with brute force.
+#: Learning and tokenizing have no SQL; nothing compares the five-word near dedup or whole-document mixing with brute force yet, nor the whole run.
 ORACLE_SQL = None
 
 
