@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -19,7 +20,7 @@ SPACE = r"\x20\x09-\x0D"
 #: The same characters for Python's str.strip and str.split.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker holds in its working arrays at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,16 +38,60 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Makes Spark delete a job's shuffle files as soon as the job has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _without_leftovers(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends: nobody reads them after the table is written."""
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    spark, path = df.sparkSession, f"{folder}/cut-{uuid.uuid4().hex}"
+    with _without_leftovers(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     It cuts the lineage, survives the loss of executors, and what stands above
-    reads only the columns that it needs.
+    reads only the columns that it needs.  The table stays; what is needed for a
+    while only is cut in a ``Scratch``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, shared_dir(df.sparkSession))
+
+
+class Scratch:
+    """Tables that are needed until the end of a ``with`` block, in a shared folder of their own.
+
+    What leaves the block must be written by then, by ``cut`` or by that of a
+    scratch around it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+    def release(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        return _written(df, self.folder)
 
 
 def _reach(spark: SparkSession) -> None:
@@ -79,6 +124,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
         yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
@@ -139,15 +185,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: An odd number and its inverse modulo 2**64.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def ngram_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hashes of all ``n`` consecutive elements of ``h`` (across texts too)."""
-    if len(h) < n:
+    """Hashes of all ``n`` consecutive elements of ``h`` (across texts too).
+
+    The sum of h[i + k] * step**k modulo 2**64 follows from running sums, so the
+    work does not grow with ``n``; ``seed`` takes another step and so gives
+    hashes that are independent of those of other seeds.
+    """
+    m = len(h) - n + 1
+    if m <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.full(len(h) - n + 1, seed, dtype=np.uint64)
+    factor = mix_int(seed) | 1
+    step, back = _STEP * factor % (1 << 64), _BACK * pow(factor, -1, 1 << 64) % (1 << 64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return out
+        sums = np.zeros(len(h) + 1, dtype=np.uint64)
+        np.cumsum(h * _powers(step, len(h)), out=sums[1:])
+        out = sums[n:] - sums[:m]
+        out *= _powers(back, m)
+        out += np.uint64(mix_int(seed + 1))
+    return mix64(out)
+
+
+def mix_int(x: int) -> int:
+    return int(mix64(np.array([x + 0x5851F42D], dtype=np.uint64))[0])
 
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -158,10 +229,6 @@ def arrow_batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def arrow_schema_ddl(*fields: str) -> str:
-    return ", ".join(fields)
-
-
 def clean_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` has not got yet."""
     have = {c.lower() for c in df.columns}
@@ -170,34 +237,66 @@ def clean_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Bits of a Bloom filter: 8 MB, whatever the size of the data.
-BLOOM_BITS = 26
+#: Least and most bits of a Bloom filter, as powers of two: 8 KB to 32 MB, whatever the size of the data.
+LEAST_BITS, MOST_BITS = 16, 28
 
 
-def _bloom_words(batches, mixed: bool):
+def _bloom_words(batches, bits: int, mixed: bool):
     for batch in batches:
         x = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        slot = np.unique((mix64(x) if mixed else x) & np.uint64((1 << BLOOM_BITS) - 1))
+        slot = np.unique((mix64(x) if mixed else x) & np.uint64((1 << bits) - 1))
         yield arrow_batch(word=pa.array((slot >> np.uint64(6)).astype(np.int64)), bits=pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64)))
 
 
 def bloom(values: DataFrame, mixed: bool = True) -> np.ndarray:
     """A filter of the one long column of ``values``, to broadcast.
 
-    Its size is fixed by BLOOM_BITS.  More values than it is made for let more
-    pass, so it may only save work, never decide.  ``mixed``: the values are not
-    hashes.
+    It has 16 to 32 bits a value, but MOST_BITS at most: values beyond that let
+    more pass, so it may only save work, never decide.  ``mixed``: the values
+    are not hashes.
     """
     from functools import partial
 
-    parts = values.mapInArrow(partial(_bloom_words, mixed=mixed), "word long, bits long")
-    rows = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.uint64)
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * values.count()).bit_length()))
+    parts = values.mapInArrow(partial(_bloom_words, bits=bits, mixed=mixed), "word long, bits long")
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    with _without_leftovers(values.sparkSession):
+        rows = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def may_hold(filter_: np.ndarray, values: np.ndarray, mixed: bool = True) -> np.ndarray:
     x = values.view(np.uint64)
-    slot = (mix64(x) if mixed else x) & np.uint64((1 << BLOOM_BITS) - 1)
+    slot = (mix64(x) if mixed else x) & np.uint64(64 * len(filter_) - 1)
     return (filter_[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+#: Most bits of the filter of ``without``: its 2**18 words of 64 bits are broadcast as rows.
+WITHOUT_BITS = 24
+
+
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether doc_id tells all rows of ``docs`` apart (null does not)."""
+    n, different = docs.select("doc_id").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return n == different
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id, which is unique, ``gone`` (doc_id) does not name.
+
+    Only DataFrame functions.  A filter of a fixed greatest size is broadcast;
+    the rows that it does not hold stay where they are, the few others are
+    compared with ``gone`` in a join.  ``gone`` should be written.
+    """
+    bits = min(WITHOUT_BITS, max(LEAST_BITS, (16 * gone.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    word, mask, flag = (clean_name(docs, c) for c in ("filter_word", "filter_mask", "filter_hit"))
+    one = F.lit(1).cast("long")
+    filter_ = gone.select(F.shiftright(slot, 6).alias(word), F.call_function("shiftleft", one, slot.bitwiseAND(63).cast("int")).alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
+    own = F.call_function("shiftright", F.col(mask), slot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    marked = docs.withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(filter_), word, "left")  # 2**18 rows at most
+    marked = marked.withColumn(flag, F.coalesce(own, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns], flag)
+    clear = marked.where(~F.col(flag)).drop(flag)
+    met = marked.where(flag).drop(flag).join(gone, "doc_id", "left_anti")
+    return clear.unionByName(met.select(*[F.col(f"`{c}`") for c in docs.columns]))

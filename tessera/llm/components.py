@@ -5,35 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for each node of ``edges`` (a, b), both long.
+def components(edges: DataFrame, out: Scratch, rounds: int = 60) -> DataFrame:
+    """(node, component) for each node of ``edges`` (a, b), both long, written in ``out``.
 
     A component is named by its smallest node.  Each round hangs every node
     below the smallest label among its neighbours and then halves the paths
     (large star, small star); the number of rounds grows with the logarithm of
     the diameter.  A hub's edges are combined before they are shuffled.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
-        if _settled(now):
-            break
+    spark = edges.sparkSession
+    scratch = Scratch(spark)
+    try:
+        now = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        for _ in range(rounds):
+            if _settled(now):
+                break
+            following = Scratch(spark)
+            now = _round(now, following)
+            scratch.release()
+            scratch = following
+        else:
+            raise RuntimeError("components did not settle")
+        stars = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+        return out.cut(stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    finally:
+        scratch.release()
+
+
+def _round(now: DataFrame, out: Scratch) -> DataFrame:
+    with Scratch(now.sparkSession) as scratch:
         # large star: neighbours above a node go to the smallest of its neighbourhood
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # minima are written first: then a hub's edges can be split in the join
-        low = cut(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
+        low = scratch.cut(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = cut(large.where("a <> b").distinct())
+        large = scratch.cut(large.where("a <> b").distinct())
         # small star: a node and its neighbours below go to the smallest of them
-        least = cut(large.groupBy("a").agg(F.min("b").alias("low")))
+        least = scratch.cut(large.groupBy("a").agg(F.min("b").alias("low")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        now = cut(small.union(least.select("a", F.col("low").alias("b"))).distinct())
-    else:
-        raise RuntimeError("components did not settle")
-    stars = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        return out.cut(small.union(least.select("a", F.col("low").alias("b"))).distinct())
 
 
 def _settled(edges: DataFrame) -> bool:

@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bloom, cut, list_array, may_hold, ngram_hashes, slices, texts_of
+from .common import Scratch, Words, bloom, clean_name, cut, list_array, may_hold, ngram_hashes, slices, texts_of, unique_ids, without
 from .components import components
 
 SHINGLE = 3
 PERCENT = 85
 K = 64
-BLOCK = 256
+BLOCK = 1024
 WHOLE = 256
 HELD_LISTS = 64
 STAR_SHARE = 8
@@ -90,7 +90,7 @@ def _sketches(batches, n: int, k: int):
 def _full_sets(batches, n: int, wanted):
     for batch in batches:
         batch = batch.filter(pa.array(may_hold(wanted.value, batch.column("row_id").to_numpy(zero_copy_only=False))))
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text"):
             at, values = shingle_sets(Words(texts_of(part), lower=True), n)
             yield pa.RecordBatch.from_arrays([part.column("row_id"), list_array(values.view(np.int64), at, pa.int64())], names=["row_id", "shingles"])
 
@@ -106,16 +106,18 @@ def holding(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.mapInArrow(partial(_holding, wanted=wanted), df.schema)
 
 
-def full_sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(row_id, shingles) of the documents ``rows`` (row_id), each once.
+def full_sets(docs: DataFrame, rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(row_id, shingles) of the documents ``rows`` (row_id, written), each once.
 
-    A fixed-size filter of the rows is broadcast, so texts stay where they are;
-    only sets are shuffled, those of the few that pass by chance as well.
+    A filter of the rows is broadcast, so texts stay where they are; only sets
+    are shuffled, those of the few that pass by chance as well.
     """
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(bloom(rows))
     sets = docs.select("row_id", "text").mapInArrow(partial(_full_sets, n=n, wanted=wanted), "row_id long, shingles array<long>")
-    return cut(sets.join(rows, "row_id", "left_semi"))
+    out = scratch.cut(sets.join(rows, "row_id", "left_semi"))
+    wanted.destroy()
+    return out
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,29 +170,30 @@ def _sizes_fit(a: str, b: str, percent: int):
 
 
 class _Linker:
-    """The steps that turn candidate pairs into confirmed links."""
+    """The steps that turn candidate pairs into confirmed links, written in ``out``."""
 
-    def __init__(self, docs: DataFrame, sketches: DataFrame, n: int, percent: int, k: int):
-        self.docs, self.sketches, self.n, self.percent, self.k = docs, sketches, n, percent, k
+    def __init__(self, docs: DataFrame, sketches: DataFrame, n: int, percent: int, k: int, out: Scratch):
+        self.docs, self.sketches, self.n, self.percent, self.k, self.out = docs, sketches, n, percent, k, out
         self.floor = least_shared(k, percent)
 
-    def estimated(self, pairs: DataFrame) -> DataFrame:
+    def estimated(self, pairs: DataFrame, scratch: Scratch) -> DataFrame:
         """``pairs`` (a, b), each once, that the sketches of the union let pass."""
         size = lambda x: self.sketches.select(F.col("row_id").alias(x), F.col("n_shingles").alias(f"n_{x}"))
-        fit = cut(pairs.join(size("a"), "a").join(size("b"), "b").where(_sizes_fit("n_a", "n_b", self.percent)).select("a", "b"))
+        fit = scratch.cut(pairs.join(size("a"), "a").join(size("b"), "b").where(_sizes_fit("n_a", "n_b", self.percent)).select("a", "b"))
         met = holding(self.sketches, _ends(fit))
         side = lambda x: met.select(F.col("row_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
         both = fit.join(side("a"), "a").join(side("b"), "b")
         return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(partial(_estimate, k=self.k, percent=self.percent, floor=self.floor), "a long, b long")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
+    def confirmed(self, pairs: DataFrame, estimate: bool = True) -> DataFrame:
         """Links (a, b) of 'pairs' whose full sets reach the threshold."""
-        pairs = cut(pairs)
-        needed = cut(_ends(pairs).distinct())
-        sets = full_sets(self.docs, needed, self.n)
-        side = lambda x: sets.select(F.col("row_id").alias(x), F.col("shingles").alias(f"set_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-        return cut(both.mapInArrow(partial(_confirm, percent=self.percent), "a long, b long"))
+        with Scratch(self.docs.sparkSession) as scratch:
+            pairs = scratch.cut(self.estimated(pairs, scratch) if estimate else pairs)
+            needed = scratch.cut(_ends(pairs).distinct())
+            sets = full_sets(self.docs, needed, self.n, scratch)
+            side = lambda x: sets.select(F.col("row_id").alias(x), F.col("shingles").alias(f"set_{x}"))
+            both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+            return self.out.cut(both.mapInArrow(partial(_confirm, percent=self.percent), "a long, b long"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -201,13 +204,13 @@ def _pairs(a, b):
     return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def _short_lists(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _short_lists(postings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs of the lists of two or three members, and the longer lists' values.
 
     The members of a short list follow from its smallest and largest member and
     their sum, so no list is ever collected.
     """
-    lists = cut(postings.groupBy("value").agg(F.count("*").alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.sum("row_id").alias("sum")).where("n > 1"))
+    lists = scratch.cut(postings.groupBy("value").agg(F.count("*").alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.sum("row_id").alias("sum")).where("n > 1"))
     third = F.col("sum") - F.col("lo") - F.col("hi")
     few = lists.where("n <= 3").select("n", "lo", "hi", third.alias("mid")).distinct()
     two = F.array(_pairs("lo", "hi"))
@@ -216,19 +219,19 @@ def _short_lists(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return short, lists.where("n > 3").select("value", "n")
 
 
-def _long_lists(postings: DataFrame, long_values: DataFrame, percent: int, floor: int) -> DataFrame:
+def _long_lists(postings: DataFrame, long_values: DataFrame, percent: int, floor: int, scratch: Scratch) -> DataFrame:
     """The postings of long lists of the documents that may be linked by these alone.
 
     A linked pair that shares no short list has ``need`` values in long ones at
     least, so a document with fewer has none.
     """
-    long = cut(postings.join(long_values, "value"))
+    long = scratch.cut(postings.join(long_values, "value"))
     need = F.least(F.lit(floor), F.ceil(F.lit(percent / 100) * F.col("n_shingles")))
     some = long.groupBy("row_id", "n_shingles").agg(F.count("*").alias("own")).where(F.col("own") >= need).select("row_id")
-    return cut(long.join(cut(some), "row_id", "left_semi"))
+    return scratch.cut(long.join(scratch.cut(some), "row_id", "left_semi"))
 
 
-def _star(postings: DataFrame, labels: DataFrame | None, salt: int, percent: int) -> DataFrame:
+def _star(postings: DataFrame, labels: DataFrame | None, salt: int, percent: int, scratch: Scratch) -> DataFrame:
     """A pair from each member of a list to the list's pivot, of another component and a fitting size.
 
     A round takes one part of the lists in STAR_SHARE; it merges what is easily
@@ -244,7 +247,7 @@ def _star(postings: DataFrame, labels: DataFrame | None, salt: int, percent: int
     top = F.min(F.struct(rank.alias("rank"), F.col("row_id").alias("pivot"), F.col("component").alias("of"), F.col("n_shingles").alias("pivot_n")))
     pivots = have.groupBy("value").agg(top.alias("top"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     # written, so that both sides of the join are plain exchanges and a long list can be split
-    pivots = cut(pivots.where("c0 <> c1").select("value", "top.pivot", "top.of", "top.pivot_n"))
+    pivots = scratch.cut(pivots.where("c0 <> c1").select("value", "top.pivot", "top.of", "top.pivot_n"))
     met = have.join(pivots, "value").where((F.col("component") != F.col("of")) & _sizes_fit("n_shingles", "pivot_n", percent))
     return met.select(_pairs("row_id", "pivot").alias("p")).select("p.a", "p.b").distinct()
 
@@ -307,47 +310,57 @@ def _rest(postings: DataFrame, labels: DataFrame, linker: _Linker) -> DataFrame:
     ``postings`` are those of ``_long_lists``.  The full sets of their documents
     pass the prefix filter: in the order of frequency among these two linked
     sets share one of the first ``size - ceil(percent% of size) + 1`` values.
-    Lists are met in blocks, in which matrix products count what is shared by
-    sets of up to WHOLE values, of larger ones by their WHOLE smallest, in short
-    forms of 32 bits; full sets move for the pairs alone that these let pass.
+    In each list the members of its largest component are compared with all
+    others, not with each other, and the others among themselves, in blocks of
+    about BLOCK members.  Matrix products count what is shared by sets of up to
+    WHOLE values, of larger ones by their WHOLE smallest, in short forms of 32
+    bits; full sets move for the pairs alone that these let pass.
     """
     docs, n, percent, k = linker.docs, linker.n, linker.percent, WHOLE
     floor = least_shared(k, percent)
-    some = postings.select("row_id").distinct()
-    some = cut(some.join(labels, some.row_id == labels.node, "left").select("row_id", F.coalesce("component", "row_id").alias("component")))
-    sets = full_sets(docs, some.select("row_id"), n)
-    every = sets.select("row_id", F.size("shingles").alias("size"), F.explode("shingles").alias("value"))
-    often = cut(every.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
-    per_row = Window.partitionBy("row_id")
-    known = every.join(often, "value").withColumn("known", F.count("*").over(per_row)).withColumn("nth", F.row_number().over(per_row.orderBy("n", "value")))
-    prefix = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1
-    entered = cut(known.where(F.col("size") - F.col("known") + F.col("nth") <= prefix).select("value", "row_id").join(some, "row_id"))
-    lists = entered.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("row_id").cast("decimal(38,0)")).alias("who"))
-    # lists of the same members count once
-    lists = cut(lists.where("c0 <> c1").groupBy("m", "who").agg(F.min("value").alias("value")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("who"))
-    brief = cut(sets.select("row_id", F.size("shingles").alias("n_shingles"), F.transform(F.slice("shingles", 1, k), lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")).alias("brief")))
-    members = entered.join(lists, "value").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
-    keyed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = keyed.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "row_id", "component")
-    # the smallest lists of a document tell in which of several lists a pair is met first
-    smallest = cut(entered.join(lists, "value").groupBy("row_id").agg(F.sort_array(F.collect_list("value")).alias("in_lists")).select("row_id", F.slice("in_lists", 1, HELD_LISTS).alias("in_lists")))
-    keyed = keyed.join(brief.join(smallest, "row_id"), "row_id").withColumn("group", F.struct("value", "x", "y"))
-
-    def pairs_of(rows: pa.Table) -> pa.Table:
-        ids, component, size, side = (rows.column(c).to_numpy() for c in ("row_id", "component", "n_shingles", "side"))
-        at, values = _flat(rows.column("brief"))
-        before, lists_ = _flat(rows.column("in_lists"))
-        earlier = lists_ < rows.column("value")[0].as_py()
-        before = np.concatenate([[0], np.cumsum(earlier)])[before]
-        one = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
-        a, b = likely_pairs(ids, component, size, side, one, (at, values), (before, lists_[earlier]), k, percent, floor)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return linker.confirmed(keyed.groupBy("group").applyInArrow(pairs_of, "a long, b long").distinct())
-
-
-def link(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int = K, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels): sketches with class representative, and components.
+    with Scratch(docs.sparkSession) as scratch:
+        some = postings.select("row_id").distinct()
+        some = scratch.cut(some.join(labels, some.row_id == labels.node, "left").select("row_id", F.coalesce("component", "row_id").alias("component")))
+        sets = full_sets(docs, some.select("row_id"), n, scratch)
+        every = sets.select("row_id", F.size("shingles").alias("size"), F.explode("shingles").alias("value"))
+        often = scratch.cut(every.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
+        per_row = Window.partitionBy("row_id")
+        known = every.join(often, "value").withColumn("known", F.count("*").over(per_row)).withColumn("nth", F.row_number().over(per_row.orderBy("n", "value")))
+        prefix = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1
+        entered = scratch.cut(known.where(F.col("size") - F.col("known") + F.col("nth") <= prefix).select("value", "row_id").join(some, "row_id"))
+        shares = entered.groupBy("value", "component").agg(F.count("*").alias("m"), F.sum(F.xxhash64("row_id").cast("decimal(38,0)")).alias("who"))
+        lists = shares.groupBy("value").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"), F.sum("who").alias("who"))
+        # lists of the same members count once
+        lists = lists.where("top.m < all").groupBy("all", "who").agg(F.min(F.struct("value", "top")).alias("first"))
+        blocks = lambda x: F.ceil(x / F.lit(BLOCK)).cast("int")
+        lists = scratch.cut(lists.select("first.value", F.col("first.top.component").alias("main"), blocks(F.col("first.top.m")).alias("n_main"), blocks(F.col("all") - F.col("first.top.m")).alias("n_other")))
+        brief = scratch.cut(sets.select("row_id", F.size("shingles").alias("n_shingles"), F.transform(F.slice("shingles", 1, k), lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")).alias("brief")))
+        members = entered.join(lists, "value").withColumn("mine", F.col("component") == F.col("main"))
+        # blocks of others are 0 to n_other - 1, those of the largest component come behind
+        of = lambda count: F.pmod(F.xxhash64("row_id"), F.col(count)).cast("int")
+        members = members.withColumn("block", F.when(F.col("mine"), F.col("n_other") + of("n_main")).otherwise(of("n_other")))
+        met = F.when(F.col("mine"), F.col("n_other")).otherwise(F.col("n_other") + F.col("n_main")) - 1
+        keyed = members.withColumn("other", F.explode(F.sequence(F.lit(0), met)))
+        keyed = keyed.select("value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "row_id", "component")
+        # the smallest lists of a document tell in which of several lists a pair is met first
+        smallest = scratch.cut(entered.join(lists, "value").groupBy("row_id").agg(F.sort_array(F.collect_list("value")).alias("in_lists")).select("row_id", F.slice("in_lists", 1, HELD_LISTS).alias("in_lists")))
+        keyed = keyed.join(brief.join(smallest, "row_id"), "row_id").withColumn("group", F.struct("value", "x", "y"))
+
+        def pairs_of(rows: pa.Table) -> pa.Table:
+            ids, component, size, side = (rows.column(c).to_numpy() for c in ("row_id", "component", "n_shingles", "side"))
+            at, values = _flat(rows.column("brief"))
+            before, lists_ = _flat(rows.column("in_lists"))
+            earlier = lists_ < rows.column("value")[0].as_py()
+            before = np.concatenate([[0], np.cumsum(earlier)])[before]
+            one = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
+            a, b = likely_pairs(ids, component, size, side, one, (at, values), (before, lists_[earlier]), k, percent, floor)
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        return linker.confirmed(keyed.groupBy("group").applyInArrow(pairs_of, "a long, b long").distinct(), estimate=False)
+
+
+def link(docs: DataFrame, scratch: Scratch, *, n: int = SHINGLE, percent: int = PERCENT, k: int = K, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): sketches with class representative, and components, both in ``scratch``.
 
     ``rows`` has doc_id, row_id, n_shingles, digest; ``labels`` maps row_id of
     representatives to their component.
@@ -355,29 +368,29 @@ def link(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int =
     base = docs.select("doc_id", "text")
     schema = "doc_id long, row_id long, n_shingles long, digest binary, sketch array<long>"
     numbered = base.withColumn("row_id", F.col("doc_id"))
-    ids = base.select("doc_id").agg(F.count("*"), F.count_distinct("doc_id"), F.coalesce(F.max(F.abs(F.col("doc_id").cast("decimal(20,0)"))), F.lit(0))).first()
-    if ids[0] != ids[1] or ids[2] >= 1 << 60:  # ids do not tell rows apart: a written copy numbers them
-        numbered = cut(base.withColumn("row_id", F.monotonically_increasing_id()))
-    rows = cut(numbered.mapInArrow(partial(_sketches, n=n, k=k), schema))
-    classes = cut(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("rep")))
-    sketches = cut(rows.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "n_shingles", "sketch"))
-    linker = _Linker(numbered.select("row_id", "text"), sketches, n, percent, k)
-    postings = sketches.select("row_id", "n_shingles", F.explode("sketch").alias("value"))
-    short, long_values = _short_lists(postings)
-    long = _long_lists(postings, long_values, percent, linker.floor)
-    candidates = short.union(_star(long, None, 0, percent)).distinct()
-    links = linker.confirmed(linker.estimated(candidates))
-    labels = cut(components(links))
-    for salt in range(1, rounds + 1):
-        more = linker.confirmed(linker.estimated(_star(long, labels, salt, percent)))
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        labels = cut(components(links))
-    more = _rest(long, labels, linker)
-    if not more.isEmpty():
-        labels = cut(components(links.union(more)))
-    return rows.join(classes, "digest", "left").select("doc_id", "row_id", "n_shingles", "rep"), labels
+    largest = base.agg(F.coalesce(F.max(F.abs(F.col("doc_id").cast("decimal(20,0)"))), F.lit(0))).first()[0]
+    if largest >= 1 << 60 or not unique_ids(base):  # ids do not tell rows apart: a written copy numbers them
+        numbered = scratch.cut(base.withColumn("row_id", F.monotonically_increasing_id()))
+    rows = scratch.cut(numbered.mapInArrow(partial(_sketches, n=n, k=k), schema))
+    classes = scratch.cut(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("rep")))
+    with Scratch(docs.sparkSession) as own:
+        sketches = own.cut(rows.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "n_shingles", "sketch"))
+        linker = _Linker(numbered.select("row_id", "text"), sketches, n, percent, k, own)
+        postings = sketches.select("row_id", "n_shingles", F.explode("sketch").alias("value"))
+        short, long_values = _short_lists(postings, own)
+        long = _long_lists(postings, long_values, percent, linker.floor, own)
+        links = linker.confirmed(short.union(_star(long, None, 0, percent, own)).distinct())
+        labels = components(links, own)
+        for salt in range(1, rounds + 1):
+            more = linker.confirmed(_star(long, labels, salt, percent, own))
+            if more.isEmpty():
+                break
+            links = links.union(more)
+            labels = components(links, own)
+        more = _rest(long, labels, linker)
+        if not more.isEmpty():
+            labels = components(links.union(more), own)
+        return rows.join(classes, "digest", "left").select("doc_id", "row_id", "n_shingles", "rep"), scratch.cut(labels)
 
 
 def near_duplicates(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int = K, rounds: int = 2) -> DataFrame:
@@ -387,25 +400,32 @@ def near_duplicates(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT
     lower case) have a Jaccard similarity of ``percent`` or more; a component is
     named by its smallest doc_id.  Null texts and texts without words have the
     empty set and are linked with nothing; a text of fewer than ``n`` words has
-    one shingle.  Equal texts are linked.  Of rows that share a component's
-    smallest doc_id one is kept; a component without any doc_id keeps one row.
+    one shingle.  Equal texts are linked, repeated rows too.  Of rows that share
+    a component's smallest doc_id one is kept; a component without any doc_id
+    keeps one row.  Texts of any length are read whole, an Arrow batch holding
+    one at least.  No rows give no rows; columns other than doc_id and text are
+    not looked at, whatever their names.
     """
-    rows, labels = link(docs, n=n, percent=percent, k=k, rounds=rounds)
-    out = rows.join(labels, rows.rep == labels.node, "left")
-    out = cut(out.select("doc_id", "row_id", "n_shingles", F.coalesce("component", "rep", "row_id").alias("component")))
-    names = out.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first"))
-    names = cut(names.select(F.col("component").alias("of"), F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("keep_row")))
-    return out.join(names, out.component == names.of).select("doc_id", "n_shingles", "component_id", (F.col("row_id") == F.col("keep_row")).alias("kept"), "row_id")
+    with Scratch(docs.sparkSession) as scratch:
+        rows, labels = link(docs, scratch, n=n, percent=percent, k=k, rounds=rounds)
+        out = rows.join(labels, rows.rep == labels.node, "left")
+        out = scratch.cut(out.select("doc_id", "row_id", "n_shingles", F.coalesce("component", "rep", "row_id").alias("component")))
+        names = out.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first"))
+        names = scratch.cut(names.select(F.col("component").alias("of"), F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("keep_row")))
+        return cut(out.join(names, out.component == names.of).select("doc_id", "n_shingles", "component_id", (F.col("row_id") == F.col("keep_row")).alias("kept"), "row_id"))
 
 
 def dedup(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component.
+    """The rows of ``docs`` that stay, one of each component, with all their columns whatever their names.
 
-    ``docs`` is numbered in a written copy, so that rows that are alike in all
-    columns are still told apart.
+    The row of a component's smallest doc_id stays (null last).  Where doc_id
+    does not tell rows apart, ``docs`` is numbered in a written copy, so that
+    rows that are alike in all columns count one by one.  Texts without words
+    all stay.  No rows give no rows.
     """
-    from .common import clean_name
-
+    if unique_ids(docs):
+        found = near_duplicates(docs, n=n, percent=percent, k=k)
+        return without(docs, cut(found.where("not kept").select("doc_id")))
     mark = clean_name(docs, "near_row")
     numbered = cut(docs.withColumn(mark, F.monotonically_increasing_id()))
     view = numbered.select(F.col(mark).alias("doc_id"), "text")
