@@ -85,18 +85,28 @@ level AS (
   SELECT place AS l_place, limited AS l_limited, open_weight AS l_weight FROM sums
   WHERE CAST(total - limited AS DOUBLE) * weight <= CAST(cap AS DOUBLE) * open_weight ORDER BY place LIMIT 1),
 targets AS (
-  SELECT source, source_size,
+  SELECT source, source_size, total,
          CASE WHEN l_place IS NULL OR place < l_place THEN CAST(cap AS DOUBLE)
               ELSE least(CAST(total - l_limited AS DOUBLE) * weight / l_weight, CAST(cap AS DOUBLE)) END AS target
   FROM sums LEFT JOIN level ON true),
 queued AS (
-  SELECT b.doc_id, b.size, t.source_size, t.target,
-         coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.k, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM base b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before))
-            + greatest(0, least(size, floor(target) - 2 * source_size - before)) AS BIGINT) AS taken
-FROM queued
+  SELECT b.doc_id, b.size, b.k, coalesce('=' || b.source, '') AS queue, t.source_size, t.target, t.total,
+         coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.k, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         row_number() OVER (ORDER BY b.k) AS row
+  FROM base b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source),
+entries AS (
+  SELECT *, epoch * source_size + before AS a, epoch * source_size + before + size AS z, floor(target) AS met
+  FROM queued, (SELECT unnest(range(3)) AS epoch)),
+pieces AS (
+  SELECT *, 0 AS piece, CASE WHEN a < met AND met < z THEN met ELSE z END AS till FROM entries
+  UNION ALL SELECT * REPLACE (met AS a), 1, z FROM entries WHERE a < met AND met < z),
+served AS (
+  SELECT *, till - a AS words, sum(till - a) OVER (
+    ORDER BY coalesce(CAST(till AS DOUBLE) / nullif(target, 0), 0), queue, k, size, epoch, piece ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent
+  FROM pieces)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       CAST(sum(greatest(0, least(words, total - spent + words))) AS BIGINT) AS taken
+FROM served GROUP BY row, doc_id
 """
 
 _OP2 = r"""
