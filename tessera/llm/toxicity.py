@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mix64, slices, texts_of
+from .common import Scratch, Words, mix64, slices, texts_of
 
 #: At most so many texts, as expected, are drawn for the training.
 POSITIVES, UNLABELLED = 3000, 6000
@@ -178,12 +178,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlab
     base = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
     p = base.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", F.lit(True).alias("positive"))  # 2 * positives ids at most
     u = base.where(draw(2, unlabelled / max(docs.count(), 1))).select("text", F.lit(False).alias("positive"))
-    rows = cut(p.union(u))
-    n_p, n_u = rows.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
-    if not n_p or not n_u:
-        return NOTHING
-    grams = choose_grams(rows, n_p, n_u)
-    found = rows.mapInArrow(partial(_features, grams=spark.sparkContext.broadcast(grams)), "positive boolean, grams array<long>").toArrow()
+    with Scratch(spark) as scratch:
+        rows = scratch.cut(p.union(u))
+        n_p, n_u = rows.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+        if not n_p or not n_u:
+            return NOTHING
+        grams = choose_grams(rows, n_p, n_u)
+        found = rows.mapInArrow(partial(_features, grams=spark.sparkContext.broadcast(grams)), "positive boolean, grams array<long>").toArrow()
     sides = []
     for side in (True, False):
         own = found.filter(pc.equal(found.column("positive"), side)).column("grams").combine_chunks()
