@@ -1,6 +1,6 @@
 """Command line: migrations and checks of queries.
 
-    python -m tessera list|status|schema|up|down --module M --root FOLDER [--target N] [--dry-run] [--output FILE]
+    python -m tessera list|status|schema|up|down --module M --scripts FOLDER --root FOLDER [--target N] [--dry-run] [--output FILE]
     python -m tessera check --folder DATA --tables a,b "SELECT ..."
 """
 
@@ -12,7 +12,7 @@ import inspect
 import sys
 from pathlib import Path
 
-from .migrations import Migration, MigrationError, Runner
+from .migrations import Migration, MigrationError, Runner, scripts
 
 
 def migrations_of(module: str) -> list[type[Migration]]:
@@ -44,7 +44,8 @@ def main(argv: list[str] | None = None) -> int:
     verbs = parser.add_subparsers(dest="verb", required=True)
     for verb in ("list", "status", "schema", "up", "down"):
         p = verbs.add_parser(verb)
-        p.add_argument("--module", required=True, help="Python module that defines the migrations")
+        p.add_argument("--module", help="Python module that defines migrations")
+        p.add_argument("--scripts", help="folder of migrations V<version>__<description>.sql")
         if verb not in ("list", "schema"):
             p.add_argument("--root", required=True, help="folder of the tables")
         if verb in ("up", "down"):
@@ -60,7 +61,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.verb == "check":
         return _check(args)
     try:
-        found = migrations_of(args.module)
+        found = (migrations_of(args.module) if args.module else []) + (scripts(args.scripts) if args.scripts else [])
+        found.sort(key=lambda m: m.version)
         if args.verb == "list":
             for m in found:
                 print(m.version, m.__name__, "forward only" if m.forward_only() else "")

@@ -3,5 +3,6 @@
 from .builder import Migration, RawSql, SystemMethod
 from .ddl import MigrationError, replay
 from .runner import Runner
+from .scripts import scripts
 
-__all__ = ["Migration", "MigrationError", "RawSql", "Runner", "SystemMethod", "replay"]
+__all__ = ["Migration", "MigrationError", "RawSql", "Runner", "SystemMethod", "replay", "scripts"]

@@ -55,7 +55,7 @@ _add("operator_precedence", "SELECT o_orderkey, 2 + 3 * 4 - -1 AS a, NOT o_order
 _add("scan_column_aliases", "SELECT n.k, n.label FROM nation AS n(k, label)", "SELECT n_nationkey AS k, n_name AS label FROM nation")
 _add("derived_table", "SELECT d.seg, d.n FROM (SELECT c_mktsegment AS seg, COUNT(*) AS n FROM customer GROUP BY c_mktsegment) AS d WHERE d.n > 10")
 _add("lateral_derived_table", "SELECT r.r_name, x.n FROM region r CROSS JOIN LATERAL (SELECT COUNT(*) AS n FROM nation WHERE n_regionkey = r.r_regionkey) AS x")
-_add("values_statement", "VALUES (1, 'one'), (2, 'two') ORDER BY column1 LIMIT 1", "SELECT 1 AS column1, 'one' AS column2")
+_add("values_statement", "VALUES (1, 'one'), (2, 'two'), (3, NULL) ORDER BY column1 DESC LIMIT 2", "SELECT 3 AS column1, NULL AS column2 UNION ALL SELECT 2, 'two'")
 _add("values_derived", "SELECT v.id, v.label FROM (VALUES (1, 'one'), (2, 'two'), (3, NULL)) AS v(id, label) WHERE v.id > 1")
 _add("unnest_array", "SELECT u.item FROM region CROSS JOIN unnest(ARRAY[r_regionkey, r_regionkey + 10]) AS u(item)", "SELECT unnest([r_regionkey, r_regionkey + 10]) AS item FROM region")
 _add("unnest_zip", "SELECT z.a, z.b FROM unnest(ARRAY[1,2,3], ARRAY['x','y']) AS z(a, b)", "SELECT * FROM (VALUES (1,'x'),(2,'y'),(3,NULL)) t(a,b)")
@@ -66,11 +66,11 @@ _add("comparisons", "SELECT o_orderkey, o_totalprice > 100000 AS a, o_orderstatu
 _add("boolean_logic", "SELECT p_partkey FROM part WHERE (p_size > 10 AND NOT p_size = 20) OR p_retailprice < 950")
 _add("null_and_truth_tests", "SELECT p_partkey, (p_size IS NULL) AS a, (p_size > 10) IS TRUE AS b, (p_size > 10) IS NOT FALSE AS c, NULLIF(p_size, 10) IS NOT NULL AS d FROM part")
 _add("distinct_from", "SELECT p_partkey, NULLIF(p_size, 10) IS DISTINCT FROM 20 AS a, NULLIF(p_size, 10) IS NOT DISTINCT FROM NULL AS b FROM part")
-_add("like_ilike", "SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_type ILIKE '%B%' AND p_name NOT LIKE 'z%'")
+_add("like_ilike", "SELECT c_custkey, c_mktsegment LIKE '%B%' AS a, c_mktsegment ILIKE '%b%' AS b, c_mktsegment NOT ILIKE 'a%' AS c, c_name LIKE '%\\_1%' AS d FROM customer", "SELECT c_custkey, c_mktsegment LIKE '%B%' AS a, c_mktsegment ILIKE '%b%' AS b, c_mktsegment NOT ILIKE 'a%' AS c, contains(c_name, '_1') AS d FROM customer")
 _add("regex_match", "SELECT p_partkey, p_brand ~ '[0-9]+' AS a, p_brand ~* 'BRAND' AS b, p_brand !~ 'x' AS c FROM part", "SELECT p_partkey, regexp_matches(p_brand, '[0-9]+') AS a, regexp_matches(p_brand, '(?i)BRAND') AS b, NOT regexp_matches(p_brand, 'x') AS c FROM part")
 _add("in_list", "SELECT n_name FROM nation WHERE n_regionkey IN (1, 2) AND n_nationkey NOT IN (3, 4)")
 _add("in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
-_add("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_add("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 _add("between", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000 AND o_orderkey NOT BETWEEN 10 AND 20")
 _add("exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice < 1000)")
 _add("scalar_subquery", "SELECT r_name, (SELECT COUNT(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region")
@@ -118,12 +118,13 @@ _add("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nati
 _add("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 _add("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 _add("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
-_add("except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+_add("except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 9")
 _add("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 _add("set_operation_precedence", "SELECT 1 AS k UNION SELECT 2 INTERSECT SELECT 3 ORDER BY k", "SELECT 1 AS k UNION (SELECT 2 INTERSECT SELECT 3)")
 _add("cte", "WITH big(k, total) AS (SELECT o_custkey, SUM(o_totalprice) FROM orders GROUP BY o_custkey), top AS MATERIALIZED (SELECT k FROM big WHERE total > 500000) SELECT c.c_name FROM customer c JOIN top ON top.k = c.c_custkey", "WITH big(k, total) AS (SELECT o_custkey, SUM(o_totalprice) FROM orders GROUP BY o_custkey) SELECT c.c_name FROM customer c JOIN big ON big.k = c.c_custkey WHERE total > 500000")
 _add("cte_recursive", "WITH RECURSIVE numbers(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM numbers WHERE n < 30) SELECT n FROM numbers")
 _add("cte_recursive_union", "WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT (n * 2) % 10 FROM r) SELECT n FROM r", "SELECT unnest([1,2,4,8,6]) AS n")
+_add("cte_recursive_deep", "WITH RECURSIVE numbers(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM numbers WHERE n < 130) SELECT COUNT(*) AS n, MAX(n) AS top FROM numbers", "SELECT 130::BIGINT AS n, 130 AS top")
 _add("row_locks_ignored", "SELECT r_name FROM region FOR UPDATE OF region NOWAIT", "SELECT r_name FROM region")
 
 # arithmetic
@@ -140,10 +141,30 @@ _add("concatenation", "SELECT n_name || '-' || n_nationkey::text AS a, CONCAT(n_
 _add("date_parts", "SELECT o_orderkey, EXTRACT(YEAR FROM o_orderdate) AS y, DATE_PART('month', o_orderdate) AS m, EXTRACT(dow FROM o_orderdate) AS dow, EXTRACT(isodow FROM o_orderdate) AS iso, EXTRACT(doy FROM o_orderdate) AS doy, EXTRACT(epoch FROM o_orderdate) AS ep FROM orders", "SELECT o_orderkey, year(o_orderdate)::DOUBLE AS y, month(o_orderdate)::DOUBLE AS m, dayofweek(o_orderdate)::DOUBLE AS dow, isodow(o_orderdate)::DOUBLE AS iso, dayofyear(o_orderdate)::DOUBLE AS doy, epoch(o_orderdate)::DOUBLE AS ep FROM orders")
 _add("date_arithmetic", "SELECT o_orderkey, DATE_TRUNC('month', o_orderdate) AS t, CAST(o_orderdate AS date) + 3 AS p, CAST(o_orderdate AS date) - DATE '1995-01-01' AS d, o_orderdate + INTERVAL '2 days' AS i, TO_CHAR(o_orderdate, 'YYYY-MM-DD HH24:MI:SS') AS c FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS t, CAST(o_orderdate AS DATE) + 3 AS p, (CAST(o_orderdate AS DATE) - DATE '1995-01-01')::INT AS d, o_orderdate + INTERVAL 2 DAY AS i, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS c FROM orders")
 
+_add(
+    "date_fields",
+    "SELECT o_orderkey, EXTRACT(century FROM o_orderdate) AS c, EXTRACT(decade FROM o_orderdate) AS d, EXTRACT(millennium FROM o_orderdate) AS m, EXTRACT(quarter FROM o_orderdate) AS q, EXTRACT(week FROM o_orderdate) AS w, EXTRACT(isoyear FROM o_orderdate) AS iso, EXTRACT(milliseconds FROM o_orderdate) AS ms, EXTRACT(day FROM CAST(o_orderdate AS date)) AS dd, EXTRACT(hour FROM o_orderdate) AS h FROM orders",
+    "SELECT o_orderkey, extract(century FROM o_orderdate)::DOUBLE AS c, extract(decade FROM o_orderdate)::DOUBLE AS d, extract(millennium FROM o_orderdate)::DOUBLE AS m, extract(quarter FROM o_orderdate)::DOUBLE AS q, extract(week FROM o_orderdate)::DOUBLE AS w, extract(isoyear FROM o_orderdate)::DOUBLE AS iso, extract(milliseconds FROM o_orderdate)::DOUBLE AS ms, extract(day FROM o_orderdate)::DOUBLE AS dd, extract(hour FROM o_orderdate)::DOUBLE AS h FROM orders",
+)
+_add("interval_literals", "SELECT o_orderkey, o_orderdate + INTERVAL '1 day 02:03:04' AS a, o_orderdate - INTERVAL '00:00:01.5' AS b, CAST(o_orderdate AS date) + INTERVAL '3 days' AS c, CAST(o_orderdate AS date) - INTERVAL '12:00:00' AS d FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL '1 day' + INTERVAL '2 hours 3 minutes 4 seconds' AS a, o_orderdate - INTERVAL '1500 milliseconds' AS b, CAST(o_orderdate AS DATE) + INTERVAL '3 days' AS c, CAST(o_orderdate AS DATE) - INTERVAL '12 hours' AS d FROM orders")
+_add("moment_differences", "SELECT o_orderkey, EXTRACT(epoch FROM (o_orderdate - TIMESTAMP '1995-01-01 00:00:10')) AS a, EXTRACT(epoch FROM (TIME '10:00:00' - TIME '09:30:00')) AS b, EXTRACT(epoch FROM ((TIMESTAMP '2000-01-02 00:00:00' - TIMESTAMP '2000-01-01 00:00:00') * 3)) AS c, EXTRACT(epoch FROM (INTERVAL '2 days' / 4)) AS d, EXTRACT(day FROM 2 * INTERVAL '36:00:00') AS e FROM orders", "SELECT o_orderkey, epoch(o_orderdate) - epoch(TIMESTAMP '1995-01-01 00:00:10') AS a, 1800::DOUBLE AS b, 259200::DOUBLE AS c, 43200::DOUBLE AS d, 3::DOUBLE AS e FROM orders")
+_add("time_arithmetic", "SELECT r_regionkey, CAST(TIME '10:00:00' + INTERVAL '01:30:00' AS text) AS a, CAST(TIME '10:00:00' - INTERVAL '00:00:30' AS text) AS b FROM region", "SELECT r_regionkey, '11:30:00' AS a, '09:59:30' AS b FROM region")
+_add("current_moments", "SELECT r_regionkey, CURRENT_DATE = CAST(NOW() AS date) AS a, CURRENT_TIMESTAMP = NOW() AS b, EXTRACT(year FROM NOW()) > 2020 AS c, LOCALTIMESTAMP > TIMESTAMP '2020-01-01 00:00:00' AS d FROM region", "SELECT r_regionkey, true AS a, true AS b, true AS c, true AS d FROM region")
+_add("random_and_session", "SELECT r_regionkey, RANDOM() >= 0 AND RANDOM() < 1 AS a, LENGTH(CURRENT_USER) > 0 AS b FROM region", "SELECT r_regionkey, true AS a, true AS b FROM region")
+_add("window_range_frame", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS n, SUM(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE UNBOUNDED PRECEDING)::bigint AS s FROM orders", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS n, (SUM(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE UNBOUNDED PRECEDING))::BIGINT AS s FROM orders")
+_add("round_to_places", "SELECT p_partkey, ROUND(CAST(p_retailprice AS numeric(12, 3)), 1) AS a, TO_CHAR(DATE '2024-03-05', 'DD.MM.YYYY') AS b FROM part", "SELECT p_partkey, ROUND(CAST(p_retailprice AS DECIMAL(12, 3)), 1) AS a, '05.03.2024' AS b FROM part")
+
 # arrays and JSON
 _add("array_operators", "SELECT n_nationkey, (ARRAY[10,20,30])[2] AS a, (ARRAY[1,2])[9] AS b, ARRAY[n_regionkey] || ARRAY[7] = ARRAY[n_regionkey, 7] AS c, (ARRAY['5','6']::integer[])[1] AS d FROM nation", "SELECT n_nationkey, 20 AS a, NULL::INT AS b, true AS c, 5 AS d FROM nation")
 _add("json_operators", "SELECT event_id, props::json ->> 'k' AS a, CAST(props::jsonb -> 'k' AS text) AS b, props::jsonb #>> '{k}' AS c FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS a, json_extract_string(props, '$.k') AS b, json_extract_string(props, '$.k') AS c FROM events")
-_add("json_contains", "SELECT event_id FROM events WHERE props::jsonb @> '{}'::jsonb AND '{\"a\": [1, 2], \"b\": 1}'::jsonb @> '{\"a\": [2]}'::jsonb", "SELECT event_id FROM events")
+_add(
+    "json_contains",
+    "SELECT event_id, props::jsonb @> '{\"k\": 7}'::jsonb AS a, '{\"k\": 7, \"l\": [1, 2]}'::jsonb @> props::jsonb AS b, '{\"a\": [1, 2], \"b\": 1}'::jsonb @> '{\"a\": [3]}'::jsonb AS c FROM events",
+    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) = 7 AS a, CAST(json_extract_string(props, '$.k') AS INT) = 7 AS b, false AS c FROM events",
+)
+_add("json_paths", """SELECT event_id, '{"a b": {"0": 5}, "l": [7, {"1": 8}]}'::jsonb #>> '{a b,0}' AS a, '{"l": [7, {"1": 8}]}'::jsonb #>> '{l,1,1}' AS b, '{"l": [7, 8]}'::json -> 'l' ->> 1 AS c FROM events""", "SELECT event_id, '5' AS a, '8' AS b, '8' AS c FROM events")
+_add("array_containment_nulls", "SELECT n_nationkey, ARRAY[1, NULL, n_regionkey] @> ARRAY[NULLIF(n_regionkey, 2)] AS a, ARRAY[1, NULLIF(n_regionkey, 3)] && ARRAY[NULLIF(n_regionkey, 3), 1] AS b FROM nation", "SELECT n_nationkey, n_regionkey <> 2 AS a, true AS b FROM nation")
+_add("generate_subscripts_of_a_missing_dimension", "SELECT r.r_regionkey, s.i FROM region r LEFT JOIN LATERAL (SELECT i FROM generate_subscripts(ARRAY[5, 6], r.r_regionkey) AS g(i)) AS s ON true", "SELECT r_regionkey, i FROM region LEFT JOIN (VALUES (1), (2)) t(i) ON r_regionkey = 1")
 
 
 # the query API
@@ -180,10 +201,6 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT id, name, region FROM places")
 
 
-def _copied(name: str, sql: str):
-    return lambda spark, sf_dir: engine(spark, sf_dir).sql(sql)
-
-
 QUERIES["table_predicates"] = _predicates
 ORACLE_SQL["table_predicates"] = "SELECT * FROM orders WHERE ((o_totalprice > 50000 AND o_orderstatus IN ('F', 'O')) OR o_orderkey BETWEEN 1 AND 20) AND o_orderpriority IS NOT NULL"
 QUERIES["predicate_lists"] = _all_any
@@ -196,4 +213,9 @@ SELECT id, CASE WHEN id = 1 THEN 'one!' ELSE name END AS name, CASE WHEN region
   SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation
   UNION ALL SELECT * FROM (VALUES (100, 'new', 9), (101, 'newer', 9), (102, 'more', NULL)) t) WHERE region <> 0 OR region IS NULL
 """
+from . import registry_changes  # noqa: E402
+
+QUERIES.update(registry_changes.QUERIES)
+ORACLE_SQL.update(registry_changes.ORACLE_SQL)
+
 __all__ = ["ColumnRef", "ORACLE_SQL", "QUERIES", "engine", "flagship"]
