@@ -8,8 +8,9 @@ import functools
 import re
 import uuid as uuid_
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 from .language.checker import Analysis, analyze, quote
 from .language.diagnostics import Diagnostic, QueryError
 from .language.dialects import POSTGRESQL, Dialect
-from .language.schema import Schema, Table
+from .language.schema import Schema, Table, table_of
 from .language.types import Kind
 from .mapping import mapper
 from .operators.changes import Changer, Outcome
-from .sources.catalog import SnapshotStore, parquet_schema
+from .sources.catalog import SnapshotStore, jdbc_table, parquet_schema
 
 #: Python types that a parameter of a kind takes.
 PYTHON_TYPES = {
@@ -52,7 +53,8 @@ def _cached(schema: Schema, dialect_name: str, sql: str) -> Analysis:
     return analyze(schema, sql, DIALECTS[dialect_name])
 
 
-def _json_contains(whole: str | None, part: str | None) -> bool | None:
+def _json_contains(whole: pd.Series, part: pd.Series) -> pd.Series:
+    """jsonb @> jsonb over Arrow batches; each different right side is parsed once a batch."""
     import json
 
     def within(a, b) -> bool:
@@ -64,9 +66,8 @@ def _json_contains(whole: str | None, part: str | None) -> bool | None:
             return any(within(x, b) and not isinstance(x, (list, dict)) for x in a)
         return type(a) is type(b) and a == b or isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool) and not isinstance(b, bool) and a == b
 
-    if whole is None or part is None:
-        return None
-    return within(json.loads(whole), json.loads(part))
+    parsed = {x: json.loads(x) for x in part.dropna().unique()}
+    return pd.Series([None if a is None or b is None else within(json.loads(a), parsed[b]) for a, b in zip(whole, part)], dtype=object)
 
 
 # predicates
@@ -410,12 +411,30 @@ class Engine:
         self.store = SnapshotStore(spark, root, dialect) if root else None
         self.named: dict[str, tuple[str, type | None]] = {}
         spark.conf.set("spark.sql.timeType.enabled", "true")
-        spark.udf.register("tessera_json_contains", _json_contains, "boolean")
+        # recursion ends when a step adds nothing, as in PostgreSQL, not at a level
+        spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+        spark.udf.register("tessera_json_contains", F.pandas_udf(_json_contains, "boolean"))
 
     @classmethod
     def over_parquet(cls, spark: SparkSession, folder: str, names: list[str], **options) -> "Engine":
         return cls(spark, parquet_schema(spark, folder, names), **options)
 
+    @classmethod
+    def over_jdbc(cls, spark: SparkSession, url: str, names: list[str], reading: dict | None = None, **options) -> "Engine":
+        """An engine over tables of another database, whose driver is on Spark's class path.
+
+        Filters and columns are pushed down to it; ``reading`` are options of
+        Spark's JDBC source, such as those that divide a table among tasks.
+        """
+        tables = []
+        for name in names:
+            df = jdbc_table(spark, url, name, **(reading or {}))
+            df.createOrReplaceTempView(name.replace(".", "__"))
+            schema, _, own = name.rpartition(".")
+            tables.append(replace(table_of(own, df.schema), schema=schema or None))
+        return cls(spark, Schema(tuple(tables)), **options)
+
     @property
     def names(self) -> Names:
         return Names(self.schema)

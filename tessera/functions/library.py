@@ -154,7 +154,15 @@ _PARTS = {
     "isodow": "(weekday({0}) + 1)",
     "doy": "dayofyear({0})",
     "isoyear": "extract(YEAROFWEEK FROM {0})",
+    "decade": "floor(year({0}) / 10)",
+    "century": "ceil(year({0}) / 100)",
+    "millennium": "ceil(year({0}) / 1000)",
+    "milliseconds": "(extract(SECOND FROM {0}) * 1000)",
+    "microseconds": "(extract(SECOND FROM {0}) * 1000000)",
 }
+#: Fields that Spark's extract knows by the same name, of moments and of intervals and times of day.
+_SAME = ("year", "quarter", "month", "week", "day", "hour", "minute", "second")
+_OF_INTERVALS = ("day", "hour", "minute", "second", "milliseconds", "microseconds", "epoch")
 
 
 def date_part(part: str, arg, name: str = "extract"):
@@ -162,15 +170,22 @@ def date_part(part: str, arg, name: str = "extract"):
     if shape.known and (shape.array or shape.kind not in (Kind.DATE, Kind.TIME, *_CLOCKED)):
         _incompatible(name)
     part = part.lower()
+    if part != "epoch" and part not in _PARTS and part not in _SAME:
+        raise Refused("SQL207", f"There is no field {part}.")
+    if shape.kind is Kind.INTERVAL and part not in _OF_INTERVALS or shape.kind is Kind.TIME and part not in _OF_INTERVALS[1:]:
+        raise Refused("SQL207", f"The type has no field {part}.")
+    of = f"CAST({arg.sql} AS INTERVAL DAY TO SECOND)" if shape.kind is Kind.INTERVAL else arg.sql
     if part == "epoch":
-        if shape.kind is Kind.INTERVAL:
-            sql = f"(extract(DAY FROM {arg.sql}) * 86400 + extract(HOUR FROM {arg.sql}) * 3600 + extract(MINUTE FROM {arg.sql}) * 60 + extract(SECOND FROM {arg.sql}))"
+        if shape.kind is Kind.TIME:
+            sql = f"(extract(HOUR FROM {of}) * 3600 + extract(MINUTE FROM {of}) * 60 + extract(SECOND FROM {of}))"
+        elif shape.kind is Kind.INTERVAL:
+            sql = f"(extract(DAY FROM {of}) * 86400 + extract(HOUR FROM {of}) * 3600 + extract(MINUTE FROM {of}) * 60 + extract(SECOND FROM {of}))"
         else:
-            sql = f"(unix_micros(CAST({arg.sql} AS TIMESTAMP)) / 1000000D)"
+            sql = f"(unix_micros(CAST({of} AS TIMESTAMP)) / 1000000D)"
     elif part in _PARTS:
-        sql = _PARTS[part].format(arg.sql)
+        sql = _PARTS[part].format(of)
     else:
-        sql = f"extract({part.upper()} FROM {arg.sql})"
+        sql = f"extract({part.upper()} FROM {of})"
     return DOUBLE, arg.nullable, f"CAST({sql} AS DOUBLE)"
 
 

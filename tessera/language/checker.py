@@ -8,6 +8,7 @@ columns and its text.  What is wrong is collected, and the walk goes on.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from dataclasses import dataclass, field, replace
 
@@ -134,6 +135,21 @@ class Bound:
 _MARK = re.compile("\x00(\\w+)\x00")
 
 
+_CLOCK = re.compile(r"\s*(?:([+-]?\d+)\s*(?:d|days?)\b)?\s*([+-]?)(\d+):(\d\d)(?::(\d\d(?:\.\d{1,6})?))?\s*\Z", re.I)
+
+
+def clock_interval(text: str) -> str | None:
+    """Spark's literal of an interval of days and a time of day, as in '1 day 02:03:04'; None for other forms."""
+    m = _CLOCK.match(text)
+    if not m:
+        return None
+    clock = (int(m[3]) * 3600 + int(m[4]) * 60) * 1_000_000 + round(float(m[5] or 0) * 1_000_000)
+    total = int(m[1] or 0) * 86_400_000_000 + (-clock if m[2] == "-" else clock)
+    seconds, micros = divmod(abs(total), 1_000_000)
+    days, seconds = divmod(seconds, 86_400)
+    return f"INTERVAL '{'-' if total < 0 else ''}{days} {seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}.{micros:06d}' DAY TO SECOND"
+
+
 class Checker:
     def __init__(self, schema: Schema, dialect: Dialect):
         self.schema, self.dialect = schema, dialect
@@ -568,7 +584,8 @@ class Checker:
                 self.bad("SQL207", "generate_subscripts takes an array.", item.args[0].span)
             columns = self.renamed(item.columns, [ResultColumn(alias.text, INT32, False)], item.span)
             a = args[0].sql if args else "array()"
-            series = f"if(size({a}) > 0, sequence(1, size({a})), CAST(array() AS ARRAY<INT>))"
+            dimension = args[1].sql if len(args) > 1 else "1"
+            series = f"if(size({a}) > 0 AND {dimension} = 1, sequence(1, size({a})), CAST(array() AS ARRAY<INT>))"
             body = f"explode({f'if({args[2].sql}, reverse({series}), {series})' if len(args) > 2 else series})"
         else:
             self.bad("SQL206", f"There is no table function {item.name}.", item.span)
@@ -692,6 +709,8 @@ class Checker:
                 return Expr(INT32, False, str(number))
             return Expr(INT64, False, f"{number}L") if number < 1 << 63 else Expr(DECIMAL, False, f"{number}BD")
         shape, word = {"date": (DATE, "DATE"), "time": (TIME, "TIME"), "timestamp": (DATETIME, "TIMESTAMP_NTZ"), "timestamptz": (OFFSET, "TIMESTAMP"), "interval": (INTERVAL, "INTERVAL")}[node.kind]
+        if node.kind == "interval" and (clock := clock_interval(v)):
+            return Expr(shape, False, clock)
         return Expr(shape, False, f"{word} {text_literal(v)}")
 
     def _parameter(self, node: n.Parameter) -> Expr:
@@ -797,7 +816,8 @@ class Checker:
             return self.bad("SQL207", f"{op} compares arrays.", node.span)
         if op == "&&":
             return Expr(BOOL, null, f"if({a.sql} IS NULL OR {b.sql} IS NULL, NULL, coalesce(arrays_overlap({a.sql}, {b.sql}), false))")
-        return Expr(BOOL, null, f"(size(array_except({b.sql}, {a.sql})) = 0)")
+        # a NULL element is contained in nothing
+        return Expr(BOOL, null, f"if({a.sql} IS NULL OR {b.sql} IS NULL, NULL, forall({b.sql}, __x -> __x IS NOT NULL AND coalesce(array_contains({a.sql}, __x), false)))")
 
     def json(self, node: n.Binary, a: Expr, b: Expr) -> Expr:
         if a.shape.known and (a.shape.array or a.shape.kind not in (Kind.JSON, Kind.JSONB)):
@@ -818,15 +838,26 @@ class Checker:
                 return self.bad("SQL207", f"{node.op} takes a path.", node.right.span)
             if b.literal is not None:
                 steps = [x.strip().strip('"') for x in b.literal.strip("{}").split(",") if x.strip()]
-                path = text_literal("$" + "".join(f"[{x}]" if x.isdigit() else f".{x}" for x in steps))
+                # a number is a place in a list or a name in an object: one of the paths fits the document
+                forms = [(f"[{x}]", f"['{x}']") if x.isdigit() else (f"['{x}']",) for x in steps]
+                paths = [text_literal("$" + "".join(f)) for f in itertools.islice(itertools.product(*forms), 64)]
             else:
-                path = f"concat('$', array_join(transform({b.sql}, __s -> if(__s RLIKE '^[0-9]+$', concat('[', __s, ']'), concat('.', __s))), ''))"
+                spelled = lambda place: f"concat('$', array_join(transform({b.sql}, __s -> {place}), ''))"
+                name = "concat('[\\'', __s, '\\']')"
+                paths = [spelled(f"if(__s RLIKE '^[0-9]+$', concat('[', __s, ']'), {name})"), spelled(name)]
+            return self.at_paths(node, a, paths, b.literal is not None)
+        return self.at_paths(node, a, [path], path.startswith("'"))
+
+    def at_paths(self, node: n.Binary, a: Expr, paths: list[str], literal: bool) -> Expr:
+        """What stands at the first of ``paths`` that leads somewhere."""
+        text = [f"get_json_object({a.sql}, {p})" for p in paths]
+        first = lambda found: found[0] if len(found) == 1 else f"coalesce({', '.join(found)})"
         if node.op.endswith(">>"):
-            return Expr(STRING, True, f"get_json_object({a.sql}, {path})")
+            return Expr(STRING, True, first(text))
         shape = a.shape if a.shape.known else Shape(Kind.JSON)
-        if path.startswith("'"):
-            return Expr(shape, True, f"to_json(variant_get(parse_json({a.sql}), {path}))")
-        return Expr(shape, True, f"get_json_object({a.sql}, {path})")
+        if literal:
+            return Expr(shape, True, first([f"to_json(variant_get(parse_json({a.sql}), {p}))" for p in paths]))
+        return Expr(shape, True, first(text))
 
     def _is(self, node: n.Is) -> Expr:
         no = "NOT " if node.negated else ""

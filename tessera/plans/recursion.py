@@ -7,15 +7,18 @@ one has added, and what is known already is taken off by an anti join.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..language.diagnostics import Diagnostic, QueryError
+
 
 def _split(sql: str, name: str) -> tuple[str, str, str, str]:
     """(column list, seed, step, rest) of ``WITH RECURSIVE name(columns) AS (...) rest``."""
     head = re.match(rf"WITH RECURSIVE `{re.escape(name)}`\(([^)]*)\) AS \(SELECT \* FROM \(", sql)
     if not head:
-        raise NotImplementedError("only one recursive query that stands first can drop duplicates")
+        raise QueryError([Diagnostic("SQL100", "Only one recursive query, which stands first, can drop duplicates.")])
 
     def closing(at: int) -> int:
         depth, i, quoted = 1, at, ""
@@ -35,7 +38,7 @@ def _split(sql: str, name: str) -> tuple[str, str, str, str]:
     seed = sql[at:end]
     rest = re.match(r"\) UNION \(", sql[end:])
     if not rest:
-        raise NotImplementedError("a recursive query of two terms is expected")
+        raise QueryError([Diagnostic("SQL100", "A recursive query that drops duplicates has two terms.")])
     at = end + rest.end()
     end = closing(at)
     tail = sql[closing(end + 1) :]  # behind the set operation
@@ -48,10 +51,15 @@ def fixpoint(spark: SparkSession, found, args: dict) -> DataFrame:
     columns, seed, step, rest = _split(found.sql, name)
     names = [c.strip().strip("`") for c in columns.split(",")]
     run = lambda text: spark.sql(text, args={k: v for k, v in args.items() if f":{k} " in text}) if args else spark.sql(text)
-    from ..sources.scratch import written
+    from ..sources.scratch import folder, written
 
-    every = fresh = written(run(seed).toDF(*names).distinct())
-    while True:  # until a round adds nothing
+    path = f"{folder(spark)}/fixpoint-{uuid.uuid4().hex}"
+    fresh = written(run(seed).toDF(*names).distinct())
+    while True:  # until a round adds nothing; each adds its own files to what is known
+        fresh.write.mode("append").parquet(path)
+        every = spark.read.schema(fresh.schema).parquet(path)
+        if fresh.isEmpty():
+            break
         fresh.createOrReplaceTempView(name)
         more = run(step).toDF(*names).distinct()
         known = None
@@ -59,8 +67,5 @@ def fixpoint(spark: SparkSession, found, args: dict) -> DataFrame:
             same = more[c].eqNullSafe(every[c])
             known = same if known is None else known & same
         fresh = written(more.join(every, known, "left_anti"))
-        if fresh.isEmpty():
-            break
-        every = written(every.unionByName(fresh))
     every.createOrReplaceTempView(name)
     return run(rest)

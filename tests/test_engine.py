@@ -11,6 +11,7 @@ from tessera.api import Engine, Predicate
 from tessera.language.diagnostics import QueryError
 from tessera.language.schema import Column, Schema, Table
 from tessera.mapping import MappingError, check
+from tessera.operators.changes import ConstraintError
 
 DATA = "/root/testdata/sf0.001"
 
@@ -148,3 +149,55 @@ def test_recursion_goes_on_until_a_round_adds_nothing(engine, monkeypatch):
     monkeypatch.setattr(recursion, "ROUNDS", 2, raising=False)  # any bound on rounds loses levels
     rows = engine.sql("WITH RECURSIVE n AS (SELECT 1 AS v UNION SELECT n.v + 1 FROM n WHERE n.v < 6) SELECT v FROM n ORDER BY v").collect()
     assert [r.v for r in rows] == [1, 2, 3, 4, 5, 6]
+
+
+def test_keys_and_not_null_are_kept(engine):
+    before = _all(engine)
+    for refused in (
+        "INSERT INTO items (id, label) VALUES (1, 'again')",
+        "INSERT INTO items (id, label) VALUES (7, 'a'), (7, 'b')",
+        "INSERT INTO items (id, label) VALUES (8, NULL)",
+        "INSERT INTO items (id, label) VALUES (9, 'a'), (9, 'b') ON CONFLICT (id) DO UPDATE SET label = excluded.label",
+        "INSERT INTO items (id, label) VALUES (1, 'a') ON CONFLICT (id) DO UPDATE SET label = NULL",
+        "UPDATE items SET label = NULL WHERE id = 2",
+        "UPDATE items SET id = 1",
+    ):
+        with pytest.raises(ConstraintError):
+            engine.execute(refused)
+        assert _all(engine) == before, refused
+    assert engine.execute("INSERT INTO items (id, label) VALUES (7, 'a'), (7, 'b'), (1, 'c') ON CONFLICT DO NOTHING") == 1
+
+
+def test_identities_over_several_partitions(spark, engine):
+    engine.spark.range(50, numPartitions=7).createOrReplaceTempView("many")
+    wide = Engine(spark, engine.schema.with_table(Table("many", (Column("id", "bigint"),))), root=engine.store.root)
+    assert wide.execute("INSERT INTO items (label) SELECT CAST(id AS text) FROM many") == 50
+    assert [r[0] for r in _all(engine)] == list(range(1, 54))
+
+
+def test_a_lazy_returning_outlives_other_changes(engine):
+    first = engine.sql("UPDATE items SET note = 'n' WHERE id = 1 RETURNING id, note")
+    engine.sql("UPDATE items SET note = 'm' WHERE id = 2 RETURNING id, note")
+    assert [tuple(r) for r in first.collect()] == [(1, "n")]
+
+
+@pytest.mark.parametrize(
+    "expression, expected",
+    [
+        ("ARRAY[1, NULL] @> ARRAY[NULL::integer]", False),
+        ("ARRAY[1, 2] @> ARRAY[2, 2]", True),
+        ("NULL::integer[] @> ARRAY[1]", None),
+        ("""'{"a b": {"0": 5}}'::jsonb #>> '{a b,0}'""", "5"),
+        ("""'{"a": [4, 5]}'::jsonb #>> '{a,1}'""", "5"),
+        ("EXTRACT(epoch FROM INTERVAL '-1 day 00:00:01')", -86399.0),
+        ("EXTRACT(century FROM DATE '2001-01-01')", 21.0),
+    ],
+)
+def test_values_of_expressions(engine, expression, expected):
+    assert engine.sql(f"SELECT {expression} AS x").first()[0] == expected
+
+
+def test_deep_recursion(engine):
+    assert engine.sql("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 150) SELECT MAX(n) AS m FROM r").first()[0] == 150
+    with pytest.raises(QueryError):
+        engine.sql("WITH RECURSIVE a(n) AS (SELECT 1), r(n) AS (SELECT 1 UNION SELECT n FROM r) SELECT n FROM r")
