@@ -4,6 +4,10 @@ Two histograms of a text, of character classes and of common words, are
 compared with the mean histograms of the languages in the corpus by the
 Jensen-Shannon distance.  A text is judged by the language that it is nearest
 to, and only by histograms that rest on enough characters or words.
+
+The references are means over all documents that pass the base rules.  Texts are
+read once: their figures and histograms are written, and all else follows from
+these.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, Words, ngram_hashes, slices, texts_of
+from .common import SPACE_CHARS, Words, cut, ngram_hashes, slices, texts_of
 
 #: Frequent words of the languages, fixed values; all other words are one class more.
 COMMON_WORDS = (
@@ -36,6 +40,9 @@ MAX_WORD_DISTANCE = 0.35
 GUARD_CHARACTERS = 200
 GUARD_WORDS = 50
 
+#: Languages with a reference of their own, those of the most documents; all others share one.
+MAX_LANGUAGES = 200
+
 LOWER_, UPPER_, DIGIT_, SPACE_, POINT_, SYMBOL_, OTHER_, BEYOND_ = range(8)
 N_CLASSES = 8
 
@@ -129,25 +136,47 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def _profiles(batches):
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _measured(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             x = Measures(texts_of(part))
-            langs = np.array([v if v is not None else "" for v in part.column("lang").to_pylist()], dtype=object)
-            for lang in sorted(set(langs.tolist())):
-                rows = np.flatnonzero((langs == lang) & ~x.base_failed)
-                if len(rows):
-                    yield arrow_row(lang, len(rows), np.concatenate([shares(x.classes[rows]).sum(axis=0), shares(x.common[rows]).sum(axis=0)]))
+            figures = [pa.array(getattr(x, name).astype(np.int64)) for name in FIGURES]
+            histograms = [pa.FixedSizeListArray.from_arrays(pa.array(h.ravel().astype(np.int32)), h.shape[1]).cast(pa.list_(pa.int32())) for h in (x.classes, x.common)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *figures, pa.array(x.base_failed), *histograms], names=["doc_id", "lang", *FIGURES, "base_failed", "classes", "common"])
+
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
-def arrow_row(lang: str, n: int, sums: np.ndarray) -> pa.RecordBatch:
-    k = len(sums)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, n, dtype=np.int64)), pa.array(sums)], names=["lang", "bin", "n", "share"])
 
+def _histograms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return _matrix(batch.column("classes"), N_CLASSES), _matrix(batch.column("common"), len(COMMON_WORDS) + 1)
 
-def language_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Mean histograms of each language over all documents that pass the base rules."""
-    rows = docs.select("text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(_profiles, "lang string, bin int, n long, share double")
+
+def _profiles(batches):
+    for batch in batches:
+        langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+        both = np.concatenate([shares(h) for h in _histograms(batch)], axis=1)
+        for lang in sorted(set(langs.tolist())):
+            sums = both[langs == lang]
+            k = both.shape[1]
+            columns = [pa.array([lang] * k), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, len(sums), dtype=np.int64)), pa.array(sums.sum(axis=0))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "bin", "n", "share"])
+
+
+def language_profiles(measured: DataFrame) -> dict[str, np.ndarray]:
+    """Mean histograms of each language over all documents that pass the base rules.
+
+    The languages of the most documents, MAX_LANGUAGES at most, have their own;
+    all others are one.  So what is collected is bounded.
+    """
+    passed = measured.where(~F.col("base_failed")).select(F.coalesce("lang", F.lit("")).alias("lang"), "classes", "common")
+    most = [r["lang"] for r in passed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    folded = passed.withColumn("lang", F.when(F.col("lang").isin(most), F.col("lang")).otherwise("other languages"))
+    rows = folded.mapInArrow(_profiles, "lang string, bin int, n long, share double")
     sums = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).collect()  # a row per language and bin
     out: dict[str, np.ndarray] = {}
     for r in sums:
@@ -158,21 +187,20 @@ def language_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
 def _judged(batches, profiles):
     refs = list(profiles.value.values())
     for batch in batches:
-        for part in slices(batch, "text"):
-            x = Measures(texts_of(part))
-            best = np.full(part.num_rows, np.inf)
-            by_class, by_word = np.zeros(part.num_rows), np.zeros(part.num_rows)
-            classes, common = shares(x.classes), shares(x.common)
-            for ref in refs:
-                c, w = distance(classes, ref[:N_CLASSES]), distance(common, ref[N_CLASSES:])
-                nearer = c / MAX_CHARACTER_DISTANCE + w / MAX_WORD_DISTANCE < best
-                best = np.where(nearer, c / MAX_CHARACTER_DISTANCE + w / MAX_WORD_DISTANCE, best)
-                by_class, by_word = np.where(nearer, c, by_class), np.where(nearer, w, by_word)
-            bad = (by_class > MAX_CHARACTER_DISTANCE) & (x.classes.sum(axis=1) >= GUARD_CHARACTERS)
-            bad |= (by_word > MAX_WORD_DISTANCE) & (x.n_words >= GUARD_WORDS)
-            names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "character_distance", "word_distance"]
-            figures = [pa.array(v.astype(np.int64)) for v in (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *figures, pa.array(x.base_failed), pa.array(~x.base_failed & ~bad), pa.array(by_class), pa.array(by_word)], names=names)
+        own = _histograms(batch)
+        classes, common = map(shares, own)
+        best = np.full(batch.num_rows, np.inf)
+        by_class, by_word = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+        for ref in refs:
+            c, w = distance(classes, ref[:N_CLASSES]), distance(common, ref[N_CLASSES:])
+            far = c / MAX_CHARACTER_DISTANCE + w / MAX_WORD_DISTANCE
+            nearer = far < best
+            best, by_class, by_word = np.where(nearer, far, best), np.where(nearer, c, by_class), np.where(nearer, w, by_word)
+        bad = (by_class > MAX_CHARACTER_DISTANCE) & (own[0].sum(axis=1) >= GUARD_CHARACTERS)
+        bad |= (by_word > MAX_WORD_DISTANCE) & (own[1].sum(axis=1) >= GUARD_WORDS)
+        failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
+        columns = [batch.column(c) for c in ("doc_id", *FIGURES, "base_failed")] + [pa.array(~failed & ~bad), pa.array(by_class), pa.array(by_word)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *FIGURES, "base_failed", "kept", "character_distance", "word_distance"])
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -180,8 +208,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Null texts have no words and fail.  A null language is a language of its own.
     Where no document passes the base rules there is no reference, and the base
-    rules alone decide.
+    rules alone decide.  Repeated rows are judged alike and count one by one in
+    the references; texts of any length are read whole.  No rows give no rows;
+    columns other than doc_id, text and lang are not looked at.
     """
-    profiles = docs.sparkSession.sparkContext.broadcast(language_profiles(docs))
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, character_distance double, word_distance double"
-    return docs.select("doc_id", "text").mapInArrow(partial(_judged, profiles=profiles), schema)
+    figures = ", ".join(f"{c} long" for c in FIGURES)
+    measured = cut(docs.select("doc_id", "text", "lang").mapInArrow(_measured, f"doc_id long, lang string, {figures}, base_failed boolean, classes array<int>, common array<int>"))
+    profiles = docs.sparkSession.sparkContext.broadcast(language_profiles(measured))
+    return measured.mapInArrow(partial(_judged, profiles=profiles), f"doc_id long, {figures}, base_failed boolean, kept boolean, character_distance double, word_distance double")
