@@ -7,10 +7,10 @@ smaller doc_id or further ahead in the same one.
 How repeats are found without moving all windows:
 
 1. Every window selects its smallest q-gram hash as its anchor, so equal windows
-   have equal anchors.  Anchors that occur in two different documents are hot;
-   a fixed-size filter holds them and is broadcast.
-2. Only windows with a hot anchor are hashed and grouped; what counts is the
-   smallest doc_id that holds a window.
+   have equal anchors.  Anchors that occur in two different texts are hot; a
+   filter of bounded size holds them and is broadcast.
+2. Only windows with a hot anchor are hashed, in 128 bits, and grouped; what
+   counts is the smallest doc_id that holds a window.
 3. A window of another document than that is covered.  Documents without such
    windows are finished in place; only the texts of the others are shuffled.
 
@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bloom, cut, may_hold, ngram_hashes, slices, texts_of
+from .common import Scratch, Words, bloom, cut, list_array, may_hold, ngram_hashes, slices, texts_of, unique_ids
 
 LENGTH = 20
 GRAM = 8
-#: The place of a null doc_id in the order of documents.
-LAST = (1 << 63) - 1
+#: Documents of null doc_id come from this place on, in the order of a hash of their text.
+LAST = 1 << 62
 
 
 class _Windows:
@@ -47,6 +47,7 @@ class _Windows:
         self.start = np.flatnonzero(owner[:n] == owner[length - 1 :]) if n else np.zeros(0, dtype=np.int64)
         self.of = owner[self.start]
         self.length, self.gram = length, gram
+        self._hashes: dict[int, np.ndarray] = {}
 
     def anchors(self) -> np.ndarray:
         """For each window the hash of its anchor."""
@@ -60,44 +61,43 @@ class _Windows:
             span, done = len(low), done + step
         return low[self.start]
 
-    def hashes(self) -> np.ndarray:
-        return ngram_hashes(self.h, self.length, seed=self.length)[self.start] if len(self.start) else np.zeros(0, dtype=np.uint64)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """The first or second half of the hash of each window."""
+        if which not in self._hashes:
+            self._hashes[which] = ngram_hashes(self.h, self.length, seed=self.length + which)[self.start] if len(self.start) else np.zeros(0, dtype=np.uint64)
+        return self._hashes[which]
 
 
-def _anchor_rows(batches, length: int, gram: int):
+def _features(batches, length: int, gram: int):
+    """Of each text a digest of its words, their number and its windows' different anchors."""
     for batch in batches:
         for part in slices(batch, "text"):
             w = _Windows(part, length, gram)
             off = w.words.offsets
-            text = np.array([xxhash.xxh3_64_intdigest(w.h[a:b].tobytes()) for a, b in zip(off, off[1:])], dtype=np.uint64)
+            digest = [xxhash.xxh3_128_digest(w.h[a:b].tobytes()) for a, b in zip(off, off[1:])]
             anchor, of = w.anchors(), w.of
             new = np.ones(len(of), dtype=bool)  # windows one behind the other mostly share their anchor
             new[1:] = (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(text[of[new]].view(np.int64))], names=["anchor", "text"])
+            anchor, bounds = anchor[new], np.searchsorted(of[new], np.arange(len(off)))
+            columns = [part.column("ord"), pa.array(digest, pa.binary()), pa.array(w.words.counts, pa.int64()), list_array(anchor.view(np.int64), bounds, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["ord", "digest", "n_words", "anchors"])
 
 
 def _window_rows(batches, hot, length: int, gram: int):
     for batch in batches:
         for part in slices(batch, "text"):
             w = _Windows(part, length, gram)
-            keep = may_hold(hot.value, w.anchors(), mixed=False)
+            keep = np.flatnonzero(may_hold(hot.value, w.anchors(), mixed=False))
+            if not len(keep):
+                continue
             of, h = w.of[keep], w.hashes()[keep]
             order = np.lexsort((h, of))
-            of, h = of[order], h[order]
+            keep, of, h = keep[order], of[order], h[order]
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
             ord_ = part.column("ord").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ord_[of[new]], pa.int64())], names=["window", "ord"])
-
-
-def _sequences(batches):
-    """A digest of each text's words, and how many they are."""
-    for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(texts_of(part))
-            h, off = words.hashes(), words.offsets
-            digest = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(off, off[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("ord"), pa.array(digest, pa.binary()), pa.array(words.counts, pa.int64())], names=["ord", "digest", "n_words"])
+            columns = [pa.array(h[new].view(np.int64)), pa.array(w.hashes(1)[keep[new]].view(np.int64)), pa.array(ord_[of[new]], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["window", "check", "ord"])
 
 
 def _spans(covered: np.ndarray) -> list[list[int]]:
@@ -105,33 +105,39 @@ def _spans(covered: np.ndarray) -> list[list[int]]:
     return edge.reshape(-1, 2).tolist()
 
 
+def _covered(w: _Windows, which: slice, windows: pa.Scalar, checks: pa.Scalar) -> np.ndarray:
+    """Which of a text's windows are repeats: of a window further ahead in it or of one that is given."""
+    own = w.hashes()[which]
+    first = np.zeros(len(own), dtype=bool)
+    first[np.unique(own, return_index=True)[1]] = True
+    if windows.is_valid and len(own) and len(windows.values):
+        given, check = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (windows, checks))
+        order = np.argsort(given)
+        at = order[np.minimum(np.searchsorted(given, own, sorter=order), len(given) - 1)]
+        first &= ~((given[at] == own) & (check[at] == w.hashes(1)[which]))
+    return ~first
+
+
 def _cleaned(batches, length: int, gram: int):
-    """What is left of texts; ``windows`` are covered ones, null in a document without."""
+    """What is left of texts; ``windows`` and ``checks`` are covered ones, ``digests`` those of whole copies, null in a document without."""
     for batch in batches:
         for part in slices(batch, "text"):
             w = _Windows(part, length, gram)
-            h, counts, off = w.hashes(), w.words.counts, w.words.offsets
+            counts, off = w.words.counts, w.words.offsets
             bounds = np.searchsorted(w.of, np.arange(len(counts) + 1))
-            copy = part.column("copy").to_pylist()
-            given = part.column("windows")
+            windows, checks, digests = (part.column(c) for c in ("windows", "checks", "digests"))
             vocabulary = w.words.vocabulary.to_pylist()
             left, removed, sha, spans = [], [], [], []
             for i in range(len(counts)):
-                own = h[bounds[i] : bounds[i + 1]]
                 gone = np.zeros(counts[i], dtype=bool)
-                if copy[i] and counts[i] >= length:
-                    gone[:] = True
-                elif len(own):
-                    first = np.zeros(len(own), dtype=bool)
-                    first[np.unique(own, return_index=True)[1]] = True
-                    bad = ~first
-                    if given[i].is_valid:
-                        bad |= np.isin(own, given[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    if bad.any():
+                if counts[i] >= length:
+                    if digests[i].is_valid and xxhash.xxh3_128_digest(w.h[off[i] : off[i + 1]].tobytes()) in digests[i].as_py():
+                        gone[:] = True
+                    else:
+                        at = np.flatnonzero(_covered(w, slice(bounds[i], bounds[i + 1]), windows[i], checks[i]))
                         step = np.zeros(counts[i] + 1, dtype=np.int64)
-                        at = np.flatnonzero(bad)
-                        np.add.at(step, at, 1)
-                        np.add.at(step, at + length, -1)
+                        step[at] += 1
+                        step[at + length] -= 1
                         gone = np.cumsum(step[:-1]) > 0
                 ids = w.words.ids[off[i] : off[i + 1]]
                 text = " ".join([vocabulary[k] for k in ids[~gone]])
@@ -145,31 +151,43 @@ def _cleaned(batches, length: int, gram: int):
             )
 
 
+def _marks(base: DataFrame, unique: bool, length: int, gram: int, scratch: Scratch) -> DataFrame:
+    """(ord, windows, checks, digests) of the documents that have covered windows or are whole copies."""
+    spark, kinds = base.sparkSession, {"length": length, "gram": gram}
+    features = scratch.cut(base.mapInArrow(partial(_features, **kinds), "ord long, digest binary, n_words long, anchors array<long>"))
+    anchors = features.select(F.xxhash64("digest").alias("text"), F.explode("anchors").alias("anchor"))
+    hot = anchors.groupBy("anchor").agg(F.min("text").alias("t0"), F.max("text").alias("t1")).where("t0 <> t1")
+    hot = spark.sparkContext.broadcast(bloom(scratch.cut(hot.select("anchor")), mixed=False))
+    windows = scratch.cut(base.mapInArrow(partial(_window_rows, hot=hot, **kinds), "window long, check long, ord long"))
+    hot.destroy()
+    first = windows.groupBy("window", "check").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
+    covered = windows.join(scratch.cut(first.select("window", "check", "first")), ["window", "check"]).where(F.col("ord") > F.col("first")).drop("first")
+    covered = covered if unique else covered.distinct()
+    covered = covered.groupBy("ord").agg(F.collect_list(F.struct("window", "check")).alias("w"))
+    covered = scratch.cut(covered.select("ord", F.col("w.window").alias("windows"), F.col("w.check").alias("checks")))
+    # windows of equal texts alone have no hot anchor: copies of whole texts are told by their digest
+    whole = features.where(F.col("n_words") >= length).select("ord", "digest")
+    classes = scratch.cut(whole.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("digest", "first"))
+    copies = whole.join(classes, "digest").where(F.col("ord") > F.col("first")).groupBy("ord").agg(F.collect_set("digest").alias("digests"))  # rows of one doc_id may differ
+    return cut(covered.join(copies, "ord", "full").select("ord", "windows", "checks", "digests"))
+
+
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_words, n_removed, text, kept_sha256, spans.
 
     ``text`` holds the words that stay, joined by one space; ``spans`` are the
     removed ones as [start, end) in words.  Null texts have no words.  Rows of
-    equal doc_id do not remove each other's words; a null doc_id comes last.
-    Texts of fewer than ``length`` words stay whole.
+    equal doc_id do not remove each other's words.  Rows of null doc_id come
+    last, in the order of a hash of their text, and those of equal texts count
+    as one document (doc_ids are below 2**62).  Texts of fewer than ``length``
+    words stay whole, texts of any length are read whole.  No rows give no rows;
+    columns other than doc_id and text are not looked at, whatever their names.
     """
-    spark = docs.sparkSession
-    base = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("ord"))
-    kinds = {"length": length, "gram": gram}
-    anchors = base.select("text").mapInArrow(partial(_anchor_rows, **kinds), "anchor long, text long")
-    hot = anchors.groupBy("anchor").agg(F.min("text").alias("t0"), F.max("text").alias("t1")).where("t0 <> t1")
-    hot_filter = spark.sparkContext.broadcast(bloom(hot.select("anchor"), mixed=False))
-
-    windows = cut(base.select("text", "ord").mapInArrow(partial(_window_rows, hot=hot_filter, **kinds), "window long, ord long"))
-    first = cut(windows.groupBy("window").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("window", "first"))
-    covered = windows.join(first, "window").where(F.col("ord") > F.col("first"))
-    covered = cut(covered.groupBy("ord").agg(F.collect_list("window").alias("windows")))
-
-    sequences = cut(base.select("text", "ord").mapInArrow(_sequences, "ord long, digest binary, n_words long"))
-    classes = cut(sequences.where(F.col("n_words") >= length).groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("digest", "first"))
-    copies = sequences.join(classes, "digest").where(F.col("ord") > F.col("first")).select("ord", "digest")
-    # rows of one doc_id may be copies or not, each by its own words
-    marks = cut(covered.select("ord", "windows", F.lit(None).cast("binary").alias("digest")).unionByName(copies.select("ord", F.lit(None).cast("array<long>").alias("windows"), "digest")).groupBy("ord").agg(F.flatten(F.collect_list(F.col("windows"))).alias("windows"), F.collect_set("digest").alias("digests")))
+    spark, kinds = docs.sparkSession, {"length": length, "gram": gram}
+    behind = F.xxhash64("text").bitwiseAND(LAST - 1) + LAST
+    base = docs.select("doc_id", "text", F.coalesce("doc_id", behind).alias("ord"))
+    with Scratch(spark) as scratch:
+        marks = _marks(base.select("text", "ord"), unique_ids(docs), length, gram, scratch)
     touched = spark.sparkContext.broadcast(bloom(marks.select("ord")))
 
     @F.pandas_udf("boolean")
@@ -178,21 +196,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
 
         return pd.Series(may_hold(touched.value, x.to_numpy(np.int64)))
 
-    plan = partial(_cleaned_rows, **kinds)
+    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    alone = base.where(~may_be_touched("ord")).select("doc_id", "text", none("long").alias("windows"), none("long").alias("checks"), none("binary").alias("digests"))
+    met = base.where(may_be_touched("ord")).join(marks, "ord", "left").select("doc_id", "text", "windows", "checks", "digests")
     out = "doc_id long, n_words long, n_removed long, text string, kept_sha256 string, spans array<array<long>>"
-    alone = base.where(~may_be_touched("ord")).select("doc_id", "text", F.lit(None).cast("array<long>").alias("windows"), F.lit(None).cast("array<binary>").alias("digests"))
-    met = base.where(may_be_touched("ord")).join(marks, "ord", "left").select("doc_id", "text", "windows", "digests")
-    return alone.union(met).mapInArrow(plan, out)
-
-
-def _cleaned_rows(batches, length: int, gram: int):
-    for batch in batches:
-        for part in slices(batch, "text"):
-            digests = part.column("digests").to_pylist()
-            copy = [False] * part.num_rows
-            if any(digests):
-                words = Words(texts_of(part))
-                h, off = words.hashes(), words.offsets
-                copy = [bool(d) and xxhash.xxh3_128_digest(h[a:b].tobytes()) in d for d, a, b in zip(digests, off, off[1:])]
-            rows = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), part.column("windows"), pa.array(copy, pa.bool_())], names=["doc_id", "text", "windows", "copy"])
-            yield from _cleaned([rows], length, gram)
+    return alone.union(met).mapInArrow(partial(_cleaned, **kinds), out)
