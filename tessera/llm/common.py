@@ -38,19 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Makes Spark delete a job's shuffle files as soon as the job has ended.
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go as soon as the job has ended, for nobody reads them after, and
+#: Python workers get texts in batches of a few megabytes instead of dozens.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 @contextmanager
 def _without_leftovers(spark: SparkSession):
-    """Shuffle files of what runs inside go when it ends: nobody reads them after the table is written."""
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _written(df: DataFrame, folder: str) -> DataFrame:
@@ -282,15 +284,15 @@ def unique_ids(docs: DataFrame) -> bool:
     return n == different
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id, which is unique, ``gone`` (doc_id) does not name.
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose ``key``, a unique number, ``gone`` (one column of that name) does not hold.
 
     Only DataFrame functions.  A filter of a fixed greatest size is broadcast;
     the rows that it does not hold stay where they are, the few others are
     compared with ``gone`` in a join.  ``gone`` should be written.
     """
     bits = min(WITHOUT_BITS, max(LEAST_BITS, (16 * gone.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
     word, mask, flag = (clean_name(docs, c) for c in ("filter_word", "filter_mask", "filter_hit"))
     one = F.lit(1).cast("long")
     filter_ = gone.select(F.shiftright(slot, 6).alias(word), F.call_function("shiftleft", one, slot.bitwiseAND(63).cast("int")).alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
@@ -298,5 +300,5 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     marked = docs.withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(filter_), word, "left")  # 2**18 rows at most
     marked = marked.withColumn(flag, F.coalesce(own, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns], flag)
     clear = marked.where(~F.col(flag)).drop(flag)
-    met = marked.where(flag).drop(flag).join(gone, "doc_id", "left_anti")
+    met = marked.where(flag).drop(flag).join(gone, key, "left_anti")
     return clear.unionByName(met.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -379,16 +379,17 @@ def link(docs: DataFrame, scratch: Scratch, *, n: int = SHINGLE, percent: int =
         postings = sketches.select("row_id", "n_shingles", F.explode("sketch").alias("value"))
         short, long_values = _short_lists(postings, own)
         long = _long_lists(postings, long_values, percent, linker.floor, own)
-        links = linker.confirmed(short.union(_star(long, None, 0, percent, own)).distinct())
+        lasting = not long.isEmpty()  # else the pairs of short lists are all
+        links = linker.confirmed(short.union(_star(long, None, 0, percent, own)).distinct() if lasting else short)
         labels = components(links, own)
-        for salt in range(1, rounds + 1):
+        for salt in range(1, rounds + 1 if lasting else 1):
             more = linker.confirmed(_star(long, labels, salt, percent, own))
             if more.isEmpty():
                 break
             links = links.union(more)
             labels = components(links, own)
-        more = _rest(long, labels, linker)
-        if not more.isEmpty():
+        more = _rest(long, labels, linker) if lasting else None
+        if more is not None and not more.isEmpty():
             labels = components(links.union(more), own)
         return rows.join(classes, "digest", "left").select("doc_id", "row_id", "n_shingles", "rep"), scratch.cut(labels)
 

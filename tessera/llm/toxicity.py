@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, mix64, slices, texts_of
+from .common import Scratch, Words, clean_name, cut, mix64, slices, texts_of, unique_ids, without
 
 #: At most so many texts, as expected, are drawn for the training.
 POSITIVES, UNLABELLED = 3000, 6000
@@ -204,7 +204,9 @@ def score(docs: DataFrame, labels: DataFrame, **sizes) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``.
 
     Null texts are empty texts.  A null doc_id counts as held out.  Without any
-    toxic label every text gets the same low score.
+    toxic label every text gets the same low score.  Equal texts, repeated rows
+    among them, have equal scores; texts of any length are read whole.  No rows
+    give no rows; columns other than doc_id and text are not looked at.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **sizes))
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
@@ -212,16 +214,18 @@ def score(docs: DataFrame, labels: DataFrame, **sizes) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **sizes) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **sizes))
-
-    @F.pandas_udf("boolean")
-    def is_clean(text):
-        import pandas as pd
-
-        flat = pa.array(text, pa.large_string(), from_pandas=True)
-        batch = pa.RecordBatch.from_arrays([flat], names=["text"])
-        out = [model.value.scores(texts_of(part)) < 0.5 for part in slices(batch, "text")]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
+    """The rows of ``docs`` that are not predicted toxic, with all their columns whatever their names.
 
-    return docs.where(is_clean("text"))
+    Null and empty texts are scored as texts without features.  Rows that are
+    alike are judged alike.  Where doc_id does not tell rows apart, a written
+    copy of ``docs`` is numbered.  No rows give no rows.
+    """
+    mark = "doc_id"
+    if not unique_ids(docs):
+        mark = clean_name(docs, "toxic_row")
+        docs = cut(docs.withColumn(mark, F.monotonically_increasing_id()))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **sizes))
+    rows = docs.select(F.col(mark).alias("doc_id"), "text", F.lit(False).alias("held_out"))
+    scored = rows.mapInArrow(partial(_scored, model=model), "doc_id long, held_out boolean, score double, predicted int")
+    out = without(docs, cut(scored.where("predicted = 1").select(F.col("doc_id").alias(mark))), mark)
+    return out if mark == "doc_id" else out.drop(mark)
