@@ -100,6 +100,11 @@ def _window_rows(batches, hot, length: int, gram: int):
             yield pa.RecordBatch.from_arrays(columns, names=["window", "check", "ord"])
 
 
+def _may_repeat(batches, repeated):
+    for batch in batches:
+        yield batch.filter(pa.array(may_hold(repeated.value, batch.column("window").to_numpy(zero_copy_only=False), mixed=False)))
+
+
 def _spans(covered: np.ndarray) -> list[list[int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
     return edge.reshape(-1, 2).tolist()
@@ -154,19 +159,24 @@ def _cleaned(batches, length: int, gram: int):
 def _marks(base: DataFrame, unique: bool, length: int, gram: int, scratch: Scratch) -> DataFrame:
     """(ord, windows, checks, digests) of the documents that have covered windows or are whole copies."""
     spark, kinds = base.sparkSession, {"length": length, "gram": gram}
-    features = scratch.cut(base.mapInArrow(partial(_features, **kinds), "ord long, digest binary, n_words long, anchors array<long>"))
+    early = Scratch(spark)
+    features = early.cut(base.mapInArrow(partial(_features, **kinds), "ord long, digest binary, n_words long, anchors array<long>"))
+    whole = scratch.cut(features.where(F.col("n_words") >= length).select("ord", "digest"))
     anchors = features.select(F.xxhash64("digest").alias("text"), F.explode("anchors").alias("anchor"))
     hot = anchors.groupBy("anchor").agg(F.min("text").alias("t0"), F.max("text").alias("t1")).where("t0 <> t1")
-    hot = spark.sparkContext.broadcast(bloom(scratch.cut(hot.select("anchor")), mixed=False))
+    hot = spark.sparkContext.broadcast(bloom(early.cut(hot.select("anchor")), mixed=False))
+    early.release()
     windows = scratch.cut(base.mapInArrow(partial(_window_rows, hot=hot, **kinds), "window long, check long, ord long"))
     hot.destroy()
     first = windows.groupBy("window", "check").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
-    covered = windows.join(scratch.cut(first.select("window", "check", "first")), ["window", "check"]).where(F.col("ord") > F.col("first")).drop("first")
+    first = scratch.cut(first.select("window", "check", "first"))
+    repeated = spark.sparkContext.broadcast(bloom(first.select("window"), mixed=False))  # most windows stand in one document alone: they need not move again
+    moved = windows.mapInArrow(partial(_may_repeat, repeated=repeated), windows.schema)
+    covered = moved.join(first, ["window", "check"]).where(F.col("ord") > F.col("first")).drop("first")
     covered = covered if unique else covered.distinct()
     covered = covered.groupBy("ord").agg(F.collect_list(F.struct("window", "check")).alias("w"))
     covered = scratch.cut(covered.select("ord", F.col("w.window").alias("windows"), F.col("w.check").alias("checks")))
     # windows of equal texts alone have no hot anchor: copies of whole texts are told by their digest
-    whole = features.where(F.col("n_words") >= length).select("ord", "digest")
     classes = scratch.cut(whole.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("digest", "first"))
     copies = whole.join(classes, "digest").where(F.col("ord") > F.col("first")).groupBy("ord").agg(F.collect_set("digest").alias("digests"))  # rows of one doc_id may differ
     return cut(covered.join(copies, "ord", "full").select("ord", "windows", "checks", "digests"))
