@@ -144,7 +144,9 @@ places AS (
   JOIN phrases ON w[s : s + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
 templates(label, t) AS (VALUES {wanted}),
-lines AS (SELECT doc_id, regexp_extract_all({lower.format("line")}, {word}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) y),
+lines AS (SELECT doc_id, regexp_extract_all({lower.format("line")}, {word}) AS w FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
+  UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))) y),
 parts AS (SELECT doc_id, w[s : s + {n - 1}] AS b FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {step}) + 1, {step})) AS s FROM lines WHERE len(w) > 0) z),
 alike AS (
   SELECT doc_id, label, len(list_intersect(t, b)) / len(t) AS share FROM parts, templates
