@@ -89,6 +89,9 @@ class Frame:
     sources: list[Source] = field(default_factory=list)
     merged: list[ResultColumn] = field(default_factory=list)
     windows: dict = field(default_factory=dict)
+    layered: bool = False
+    layers: dict[str, str] = field(default_factory=dict)
+    shifts: list[tuple[list[str], str, str, str]] = field(default_factory=list)
 
 
 @dataclass
@@ -414,6 +417,27 @@ class Checker:
 
     # SELECT
 
+    def layer(self, sql: str) -> str:
+        """A column of the query's rows that is computed below its select list, for windows over what a window gives."""
+        layers = self.frames[-1].layers
+        return layers.setdefault(sql, f"`__l{len(layers)}`")
+
+    def with_layers(self, frame: Frame, tail: str) -> str:
+        """FROM and WHERE with the layers' columns; each table is a struct of its alias there, so names mean what they meant.
+
+        A shift joins the row that lies an offset further in its partition, found by its number.
+        """
+        if not frame.layers:
+            return tail
+        columns = [f"struct({quote(s.alias)}.*) AS {quote(s.alias)}" for s in frame.sources] + [quote(c.name) for c in frame.merged]
+        rows = f"(SELECT {', '.join(columns + [f'{sql} AS {name}' for sql, name in frame.layers.items()])}{tail})"
+        out = f" FROM {rows} AS `__rows`"
+        for i, (keys, number, value, target) in enumerate(frame.shifts):
+            own = [f"{k} AS `__k{i}_{j}`" for j, k in enumerate(keys)] + [f"{number} AS `__m{i}`", f"{value} AS `__v{i}`"]
+            same = [f"{k} <=> `__k{i}_{j}`" for j, k in enumerate(keys)] + [f"`__m{i}` = {target}"]
+            out += f" LEFT JOIN (SELECT {', '.join(own)} FROM {rows} AS `__rows`) AS `__s{i}` ON {' AND '.join(same)}"
+        return out
+
     def select(self, s: n.Select, q: n.Query | None) -> Bound:
         frame = Frame()
         self.frames.append(frame)
@@ -428,6 +452,7 @@ class Checker:
         groups = [self.expr(g) for g in s.group]
         self.aggregates_ok.pop()
         self._grouped.append(bool(s.group))
+        frame.layered = bool(frame.sources) and not (s.group or s.having is not None or any(self.has_aggregate(i.expr) for i in s.items))
         items = self.items(s.items)
         having = self.condition(s.having).sql if s.having else None
         self._grouped.pop()
@@ -447,7 +472,7 @@ class Checker:
             for lock in q.locks:
                 if self.source([lock]) is None:
                     self.bad("SQL202", f"There is no table or alias {lock.text} here.", lock.span)
-        tail = from_ + (f" WHERE {where}" if where else "")
+        tail = self.with_layers(frame, from_ + (f" WHERE {where}" if where else ""))
         if s.group:
             tail += " GROUP BY " + ", ".join(g.sql for g in groups)
         if having:
@@ -1022,13 +1047,13 @@ class Checker:
             return self.bad("SQL212", f"{name} takes one argument.", node.span)
         window = self.window(node.over, node.span) if node.over is not None else None
         if name == "count":
-            sql = self.aggregated("count", "*" if node.star else args[0].sql, node.distinct, condition, window, None)
+            sql = self.aggregated("count", "*" if node.star else args[0].sql, node, condition, window, None)
             kind = self.dialect.aggregate_kind("count", Kind.INT64)
             return Expr(Shape(kind), False, f"CAST({sql} AS INT)" if kind is Kind.INT32 else sql)
         e = args[0]
         if name in ("min", "max"):
             shape = e.shape
-            sql = self.aggregated(name, e.sql, False, condition, window, shape)
+            sql = self.aggregated(name, e.sql, node, condition, window, shape)
         else:
             if e.shape.known and not e.shape.number:
                 return self.bad("SQL207", f"{name} takes a number.", node.span)
@@ -1036,7 +1061,7 @@ class Checker:
             arg = e.sql
             if shape.kind is Kind.DECIMAL and e.shape.kind in INTS:
                 arg = f"CAST({e.sql} AS DECIMAL({'38,0' if name == 'sum' else '20,0'}))"
-            sql = self.aggregated(name, arg, node.distinct, condition, window, shape)
+            sql = self.aggregated(name, arg, node, condition, window, shape)
             if shape.kind is not Kind.DECIMAL:
                 sql = f"CAST({sql} AS {shape.spark()})"
         group = node.over is None and self.grouped_now
@@ -1050,7 +1075,8 @@ class Checker:
     def _grouped(self) -> list[bool]:
         return []
 
-    def aggregated(self, name: str, arg: str, distinct: bool, condition: Expr | None, window: str | None, shape: Shape | None) -> str:
+    def aggregated(self, name: str, arg: str, node: n.Call, condition: Expr | None, window: str | None, shape: Shape | None) -> str:
+        distinct = node.distinct and name not in ("min", "max")
         if window is None:
             text = f"{name}({'DISTINCT ' if distinct else ''}{arg})"
             return text + (f" FILTER (WHERE {condition.sql})" if condition else "")
@@ -1058,6 +1084,10 @@ class Checker:
             arg = f"CASE WHEN {condition.sql} THEN {'1' if arg == '*' else arg} END"
         if not distinct:
             return f"{name}({arg}) OVER {window}"
+        partition, order, bounds = self.window_parts(node.over, node.span, ())
+        if self.frames[-1].layered and bounds is None:  # the first row of each value counts
+            first = self.layer(f"row_number() OVER (PARTITION BY {', '.join([*partition, arg])} ORDER BY {', '.join(order) or 'NULL'})")
+            return f"{name}(CASE WHEN {first} = 1 THEN {arg} END) OVER {window}"
         found = f"collect_set({arg}) OVER {window}"
         if name == "count":
             return f"CAST(size({found}) AS BIGINT)"
@@ -1082,12 +1112,35 @@ class Checker:
             self.unified([args[0], args[2]], node.span, name)
         if len(args) > 1 and self.typed(args[1], INT32).shape.known and args[1].shape.kind not in INTS:
             self.bad("SQL207", "The offset is an integer.", node.args[1].span)
+        if name in ("lag", "lead") and len(args) > 1 and "`" in args[1].sql:
+            return Expr(args[0].shape, True, self.shifted(node, args))
         return Expr(args[0].shape, True if name in ("lag", "lead") else args[0].nullable, f"{name}({', '.join(a.sql for a in args)}) OVER {window}")
 
+    def shifted(self, node: n.Call, args: list[Expr]) -> str:
+        """LAG or LEAD by an offset of the row's own, which Spark's windows do not take."""
+        frame = self.frames[-1]
+        if not frame.layered:
+            self.bad("SQL100", f"{node.name} by an offset that is no constant stands beside aggregates.", node.span)
+            return "NULL"
+        partition, order, _ = self.window_parts(node.over, node.span, ())
+        number = self.layer(f"row_number() OVER ({f'PARTITION BY {', '.join(partition)} ' if partition else ''}ORDER BY {', '.join(order) or 'NULL'})")
+        offset = f"({args[1].sql})"
+        shift = (partition, number, args[0].sql, f"{number} {'-' if node.name == 'lag' else '+'} {offset}")
+        if shift not in frame.shifts:
+            frame.shifts.append(shift)
+        i = frame.shifts.index(shift)
+        if len(args) < 3:
+            return f"`__v{i}`"
+        return f"CASE WHEN {offset} IS NULL THEN NULL WHEN `__m{i}` IS NOT NULL THEN `__v{i}` ELSE {args[2].sql} END"
+
     def window(self, over, span: Span, frame: bool = True, seen: tuple = ()) -> str:
         partition, order, bounds = self.window_parts(over, span, seen)
         if bounds and bounds.lower().startswith("groups") and frame:
-            self.bad("SQL100", "GROUPS frames are not supported.", span)
+            if order and self.frames[-1].layered:  # peers are rows of one rank
+                over = f"{f'PARTITION BY {', '.join(partition)} ' if partition else ''}ORDER BY {', '.join(order)}"
+                order, bounds = [self.layer(f"dense_rank() OVER ({over})")], "RANGE" + bounds[len("groups") :]
+            else:
+                self.bad("SQL100", "GROUPS frames need an order and stand beside no aggregates.", span)
         parts = ([f"PARTITION BY {', '.join(partition)}"] if partition else []) + ([f"ORDER BY {', '.join(order)}"] if order else [])
         return f"({' '.join(parts + ([bounds] if bounds and frame else []))})"
 

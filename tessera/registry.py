@@ -108,6 +108,9 @@ _add("window_ranking", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_cus
 _add("window_offsets", "SELECT o_orderkey, LAG(o_orderkey) OVER w AS p, LEAD(o_orderkey, 2, -1) OVER w AS nx, FIRST_VALUE(o_orderkey) OVER w AS f, LAST_VALUE(o_orderkey) OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)", "SELECT o_orderkey, LAG(o_orderkey) OVER w AS p, LEAD(o_orderkey, 2, -1) OVER w AS nx, FIRST_VALUE(o_orderkey) OVER w AS f, LAST_VALUE(o_orderkey) OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 _add("window_aggregate", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n, MAX(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS top FROM orders")
 _add("window_distinct_and_filter", "SELECT n_nationkey, COUNT(DISTINCT n_regionkey) OVER () AS d, COUNT(*) FILTER (WHERE n_nationkey > 5) OVER (PARTITION BY n_regionkey) AS f FROM nation", "SELECT n_nationkey, (SELECT COUNT(DISTINCT n_regionkey) FROM nation) AS d, COUNT(*) FILTER (WHERE n_nationkey > 5) OVER (PARTITION BY n_regionkey) AS f FROM nation")
+_add("window_groups_frame", "SELECT o.o_orderkey, SUM(o.o_totalprice) OVER (PARTITION BY c.c_nationkey ORDER BY o.o_orderdate GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS near, COUNT(*) OVER (PARTITION BY c.c_nationkey ORDER BY o.o_orderdate GROUPS 2 PRECEDING) AS n FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 1000")
+_add("window_offset_per_row", "SELECT o_orderkey, LAG(o_orderkey, o_custkey % 4) OVER w AS p, LEAD(o_orderkey, o_custkey % 3, -1) OVER w AS nx FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+_add("window_distinct_running", "SELECT l_orderkey, l_linenumber, COUNT(DISTINCT l_suppkey) OVER (PARTITION BY l_orderkey) AS suppliers, SUM(DISTINCT l_linenumber) OVER (PARTITION BY l_suppkey) AS numbers, COUNT(DISTINCT l_returnflag) FILTER (WHERE l_linenumber > 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS flags FROM lineitem")
 _add("window_inheritance", "SELECT o_orderkey, ROW_NUMBER() OVER (w ORDER BY o_orderkey DESC) AS a, COUNT(*) OVER w2 AS b FROM orders WINDOW w AS (PARTITION BY o_custkey), w2 AS (w ORDER BY o_orderkey)", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS a, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders")
 
 # order, limits, set operations, CTEs

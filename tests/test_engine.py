@@ -201,3 +201,42 @@ def test_deep_recursion(engine):
     assert engine.sql("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 150) SELECT MAX(n) AS m FROM r").first()[0] == 150
     with pytest.raises(QueryError):
         engine.sql("WITH RECURSIVE a(n) AS (SELECT 1), r(n) AS (SELECT 1 UNION SELECT n FROM r) SELECT n FROM r")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT n_name, LAG(n_name, n_nationkey - 12, 'none') OVER (ORDER BY n_nationkey) AS p FROM nation",
+        "SELECT n_name, LEAD(n_name, NULLIF(n_regionkey, 2), 'none') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS p FROM nation",
+        "SELECT n_regionkey AS k, COUNT(*) OVER (ORDER BY n_regionkey GROUPS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS n FROM nation ORDER BY k, n LIMIT 7",
+        "SELECT x.n_name, COUNT(DISTINCT r_name) OVER () AS d, SUM(x.n_nationkey) OVER (ORDER BY r_name GROUPS UNBOUNDED PRECEDING) AS t FROM nation x LEFT JOIN region ON r_regionkey = x.n_regionkey AND r_regionkey < 3",
+        "SELECT k, SUM(DISTINCT k) OVER () AS s, COUNT(DISTINCT NULLIF(k, 1)) OVER () AS n FROM (VALUES (1), (2), (2), (NULL)) AS v(k)",
+        "SELECT n_regionkey, a.n_name FROM nation a JOIN (SELECT n_nationkey, COUNT(*) OVER (ORDER BY n_regionkey GROUPS 1 PRECEDING) AS n FROM nation) b USING (n_nationkey) WHERE b.n > 5",
+        "SELECT n_nationkey, LAG(a.n_name, b.n_regionkey) OVER (ORDER BY n_nationkey) AS p FROM nation a JOIN nation b USING (n_nationkey)",
+        "SELECT n_regionkey, (SELECT MAX(g) FROM (SELECT COUNT(*) OVER (ORDER BY r_name GROUPS 1 PRECEDING) AS g FROM region) t) AS m FROM nation",
+    ],
+)
+def test_windows_over_windows(spark, sql):
+    duck = duckdb.connect()
+    for t in ("nation", "region"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    expected = duck.execute(sql)
+    want = _rows([c[0] for c in expected.description], expected.fetchall())
+    found = Engine.over_parquet(spark, DATA, ["nation", "region"]).sql(sql)
+    assert _rows(found.columns, found.collect()) == want
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT COUNT(*) OVER (GROUPS 1 PRECEDING) AS n FROM nation",
+        "SELECT n_regionkey, SUM(COUNT(*)) OVER (ORDER BY n_regionkey GROUPS 1 PRECEDING) AS n FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, LAG(n_regionkey, n_regionkey) OVER (ORDER BY n_regionkey) AS n FROM nation GROUP BY n_regionkey",
+    ],
+)
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_windows_that_are_refused(spark, sql):
+    with pytest.raises(QueryError) as e:
+        Engine.over_parquet(spark, DATA, ["nation"]).sql(sql)
+    assert "SQL100" in str(e.value)
