@@ -44,7 +44,7 @@ _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "
 
 
 @contextmanager
-def _without_leftovers(spark: SparkSession):
+def without_leftovers(spark: SparkSession):
     before = {k: spark.conf.get(k, None) for k in _WRITING}
     for k, v in _WRITING.items():
         spark.conf.set(k, v)
@@ -57,7 +57,7 @@ def _without_leftovers(spark: SparkSession):
 
 def _written(df: DataFrame, folder: str) -> DataFrame:
     spark, path = df.sparkSession, f"{folder}/cut-{uuid.uuid4().hex}"
-    with _without_leftovers(spark):
+    with without_leftovers(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -262,7 +262,7 @@ def bloom(values: DataFrame, mixed: bool = True) -> np.ndarray:
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * values.count()).bit_length()))
     parts = values.mapInArrow(partial(_bloom_words, bits=bits, mixed=mixed), "word long, bits long")
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    with _without_leftovers(values.sparkSession):
+    with without_leftovers(values.sparkSession):
         rows = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out

@@ -29,8 +29,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents appended as small shards and compacted; each with the shard that holds it."""
     store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append(table(spark, sf_dir, "documents"))
-    store.settle()
+    docs = table(spark, sf_dir, "documents")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the table's files
+    store.append(docs, store.arrivals(docs.count(), size))
+    store.settle(keep=1)
     store.vacuum()
     return store.read().select("doc_id", "shard", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_code_points"))
 

@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import clean_name
+from .common import clean_name, without_leftovers
 
 TARGET_BYTES = 32 << 20
 BASE_BYTES = 1 << 20
 FAN_IN = 4
+#: A round of merges is committed in so many parts at most.
+PARTS = 4
 
 
 class ManifestConflict(RuntimeError):
@@ -121,12 +123,17 @@ class ShardStore:
 
     # operations
 
-    def append(self, df: DataFrame) -> dict:
-        """Write ``df`` as small shards, one per partition, and commit them."""
+    def arrivals(self, rows: int, size: int) -> int:
+        """Rows of a shard, so that ``rows`` of ``size`` bytes in all make small shards that are due: of a quarter of a run at most, ``fan_in`` at least."""
+        shards = max(self.fan_in, math.ceil(size / max(1, self.target_bytes // (2 * self.fan_in))))
+        return max(1, rows // shards)
+
+    def append(self, df: DataFrame, rows_per_shard: int = 0) -> dict:
+        """Write ``df`` as shards of at most ``rows_per_shard`` rows (0: one per partition) and commit them."""
         base, folder = self.manifest(), f"{self.root}/data/{uuid.uuid4().hex}"
         if base["schema"] and self._kinds(json.loads(base["schema"])) != self._kinds(json.loads(df.schema.json())):
             raise ValueError("the rows have other columns than the table")
-        df.write.parquet(folder)
+        df.write.option("maxRecordsPerFile", rows_per_shard).parquet(folder)
         return self._commit(base, base["shards"] + self._listed(folder), df.schema.json())
 
     def plan(self, shards: list[dict]) -> list[list[dict]]:
@@ -146,15 +153,29 @@ class ShardStore:
             groups += [b for b in bins if len(b) > 1]
         return groups
 
-    def compact(self) -> dict | None:
-        """One round of merges, committed at once; None if no tier is due.
+    def compact(self, keep: int | None = None) -> dict | None:
+        """One round of merges; None if no tier is due.
 
-        Nothing is committed if the merged files do not hold as many rows as their sources.
+        The groups are merged and committed in up to PARTS parts, or fewer that busy all cores.
+        With ``keep`` older versions are vacuumed after each, so that a table and its merged copy are never
+        both whole on disk.
         """
         base = self.manifest()
         groups = self.plan(base["shards"])
         if not groups:
             return None
+        at_once = max(self.spark.sparkContext.defaultParallelism, math.ceil(len(groups) / PARTS))
+        for first in range(0, len(groups), at_once):
+            base = self._merge(base, groups[first : first + at_once])
+            if keep is not None:
+                self.vacuum(keep)
+        return base
+
+    def _merge(self, base: dict, groups: list[list[dict]]) -> dict:
+        """Merge each group into one file and commit.
+
+        Nothing is committed if the merged files do not hold as many rows as their sources.
+        """
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         of = [(self._place(s["path"]), g) for g, own in enumerate(groups) for s in own]
         rows = self.spark.read.schema(self._schema(base)).parquet(*[s["path"] for own in groups for s in own])
@@ -162,16 +183,17 @@ class ShardStore:
         which = self.spark.createDataFrame(of, f"{file} string, {group} int")
         merged = rows.withColumn(file, self._place_column()).join(F.broadcast(which), file).select(*[F.col(f"`{c}`") for c in rows.columns], group)  # a row per file of the manifest, which the driver holds
         # a group makes one file of about the target size, by a task of its own
-        merged.repartitionById(len(groups), F.col(group)).write.partitionBy(group).parquet(folder)
+        with without_leftovers(self.spark):
+            merged.repartitionById(len(groups), F.col(group)).write.partitionBy(group).parquet(folder)
         gone = {s["path"] for own in groups for s in own}
         made, want = self._listed(folder), sum(s["rows"] for own in groups for s in own)
         if sum(s["rows"] for s in made) != want:
             raise RuntimeError(f"merged shards in {folder} hold {sum(s['rows'] for s in made)} rows of {want}")
         return self._commit(base, [s for s in base["shards"] if s["path"] not in gone] + made, base["schema"])
 
-    def settle(self) -> dict:
+    def settle(self, keep: int | None = None) -> dict:
         """Compact until no tier is due."""
-        while self.compact() is not None:
+        while self.compact(keep) is not None:
             pass
         return self.manifest()
 

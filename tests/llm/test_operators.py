@@ -234,3 +234,24 @@ def test_sharding_of_several_groups_in_a_round(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "_listed", lambda folder: listed(folder)[1:])
     with pytest.raises(RuntimeError):
         store.settle()
+
+
+def test_sharding_compacts_whatever_the_partitions(spark, tmp_path):
+    from tessera.llm import queries
+
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(str(i))), 256) for i in range(8)]).alias("text"))
+    for n in (1, 2, 9):
+        rows.repartition(n).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        made, own = [], sharding.ShardStore._commit
+
+        def commit(self, base, shards, schema):
+            made.append([s["bytes"] for s in shards])
+            return own(self, base, shards, schema)
+
+        sharding.ShardStore._commit = commit
+        try:
+            found = queries.op3_compact_shards(spark, f"{tmp_path}/{n}").collect()
+        finally:
+            sharding.ShardStore._commit = own
+        assert len(made) > 1 and len(made[0]) >= 4 > len(made[-1]) and max(made[0]) < 8 << 20, (n, made)
+        assert sorted((r.doc_id, r.n_code_points) for r in found) == [(i, 519) for i in range(30_000)] and {r.shard for r in found} == set(range(len(made[-1])))
