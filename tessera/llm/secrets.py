@@ -32,8 +32,10 @@ MAY_HOLD = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0
 
 #: Parts of names and how sensitive each is, fixed values.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.6, "secret": 1.0, "token": 0.9, "apikey": 1.0, "key": 0.5, "auth": 0.6, "credential": 0.9, "credentials": 0.9, "private": 0.5, "api": 0.4, "access": 0.4, "salt": 0.5}
-#: What a text must hold for a pair: a listed word in a name before an assignment.
-MAY_PAIR = rf"(?i)({'|'.join(SENSITIVE)})[A-Za-z0-9_.\-\]\"']*[\x20\t]*(:=|=>|[:=])"
+#: White space and continued lines, as the lexer skips them.
+_GAP = r"(?:[\x20\t\r]|\\\r?\n)*"
+#: What a text must hold for a pair: a listed word in a name, a quoted one or that of an index, before an assignment.
+MAY_PAIR = rf"(?i)({'|'.join(SENSITIVE)})[A-Za-z0-9_.\-]*[\"'`]*{_GAP}\]*{_GAP}(:=|=>|[:=])"
 #: What a name with any of them counts at least, so that a random literal reaches the threshold under the weakest.
 ALONE = 0.7
 THRESHOLD = 0.9
@@ -53,7 +55,8 @@ _TOKEN = re.compile(
     re.X,
 )
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
-_KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}\Z")
+_KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*+")
+_INDENT = re.compile(r"\x20*+")
 _HOLE = re.compile(r"\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
@@ -70,9 +73,10 @@ def sensitivity(name: str) -> float:
     """How far a name speaks of a secret, 0 to 1, by its parts and the listed words that they end with (dbpwd)."""
     own = []
     for part in (p.lower() for p in _PARTS.findall(name)):
-        while last := max((w for w in SENSITIVE if part.endswith(w)), key=len, default=""):
+        end = len(part)
+        while last := max((w for w in SENSITIVE if part.endswith(w, 0, end)), key=len, default=""):
             own.append(SENSITIVE[last])
-            part = part[: -len(last)]
+            end -= len(last)
     return max(ALONE, min(1.0, sum(sorted(own, reverse=True)[:2]))) if own else 0.0
 
 
@@ -96,6 +100,16 @@ class _Lexed:
     def __init__(self, text: str):
         self.text = text
         self.tokens = [(m.lastgroup if m.lastgroup != "q" else "string", m.start(), m.end()) for m in _TOKEN.finditer(text) if m.lastgroup != "space"]
+        self.keys: dict[int, str | None] = {}
+        self.weights: dict[str, float] = {}
+        self.colons: list[int] = []  # by token: the last colon up to it that no line, string, comma, semicolon or bracket ( or { follows, else -1
+        last = -1
+        for i, (kind, a, b) in enumerate(self.tokens):
+            if kind in ("line", "string") or text[a] in ",;({":
+                last = -1
+            elif b - a == 1 and text[a] == ":":
+                last = i
+            self.colons.append(last)
 
     def kind(self, i: int) -> str:
         return self.tokens[i][0] if 0 <= i < len(self.tokens) else "line"
@@ -111,26 +125,32 @@ class _Lexed:
 
     def key(self, i: int) -> str | None:
         """The name that ends with token ``i``: a plain one, a quoted one, or that of an index."""
+        if i not in self.keys:
+            self.keys[i] = self._key(i)
+        return self.keys[i]
+
+    def _key(self, i: int) -> str | None:
         if self.kind(i) == "name":
             return self.word(i)
         if self.kind(i) == "string":
             a, b = self.inside(i)
-            return self.text[a:b] if b - a <= 80 and _KEY.match(self.text[a:b]) else None
+            return self.text[a:b] if _KEY.fullmatch(self.text, a, b) else None
         if self.word(i) == "]" and self.kind(i - 1) in ("string", "name"):
             return self.key(i - 1)
         return None
 
+    def weight(self, name: str) -> float:
+        """Its sensitivity, reckoned once: many signs of a line may share a name."""
+        if name not in self.weights:
+            self.weights[name] = sensitivity(name)
+        return self.weights[name]
+
     def assigned(self, i: int) -> str | None:
-        """The name that the sign ``i`` assigns to, behind its annotation if there is one."""
+        """The name that the sign ``i`` assigns to, behind its annotation if there is one, however long."""
         found = [self.key(i - 1)]
-        if self.word(i) in ("=", "=>"):  # name: type = value, but in prose the word in front may be the name
-            for back in range(i - 2, max(-1, i - 14), -1):
-                if self.kind(back) in ("line", "string") or self.word(back) in (",", ";", "(", "{"):
-                    break
-                if self.word(back) == ":":
-                    found.append(self.key(back - 1))
-                    break
-        return max(filter(None, found), key=sensitivity, default=None)
+        if self.word(i) in ("=", "=>") and i >= 2 and self.colons[i - 2] >= 0:  # name: type = value, but in prose the word in front may be the name
+            found.append(self.key(self.colons[i - 2] - 1))
+        return max(filter(None, found), key=self.weight, default=None)
 
     def values(self, i: int) -> tuple[list[tuple[int, int, bool]], int]:
         """(start, end, quoted) of what stands behind the sign ``i``, and the token behind it."""
@@ -160,7 +180,10 @@ class _Lexed:
         return out, i + 1
 
     def bracketed(self, i: int) -> tuple[list[tuple[int, int, bool]], int]:
-        """The strings within the brackets that token ``i`` opens, but for keys and values of their own."""
+        """The strings within the brackets that token ``i`` opens, but for keys and values of their own.
+
+        It reads as far as the next sign at most, from which the next pair is read, so no token is read twice.
+        """
         out, depth, j = [], 0, i
         while j < len(self.tokens):
             depth += (self.kind(j) == "open") - (self.kind(j) == "close")
@@ -171,15 +194,13 @@ class _Lexed:
             if self.kind(j) == "string" and self.kind(j + 1) != "set":
                 out.append((*self.inside(j), True))
             j += 1
-            if j - i > 64:  # no argument list
-                return [], i + 1
         return out, j + 1
 
     def block(self, j: int) -> tuple[list[tuple[int, int, bool]], int]:
         """The lines of a block scalar, those that are indented further than the line of its name."""
-        indent = lambda at: len(self.text[at : at + 200]) - len(self.text[at : at + 200].lstrip(" "))
+        indent = lambda at: _INDENT.match(self.text, at).end() - at
         begin = self.text.rfind("\n", 0, self.tokens[j][1]) + 1
-        own, at, out = indent(begin), self.tokens[j + 1][2], []
+        own, at, out = indent(begin), self.tokens[j + 1][2] if j + 1 < len(self.tokens) else len(self.text), []
         while at < len(self.text):
             end = self.text.find("\n", at)
             end = len(self.text) if end < 0 else end
@@ -192,9 +213,9 @@ class _Lexed:
         return out, j
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
+def pairs(text: str, lexed: _Lexed | None = None) -> list[tuple[str, str, int, int, bool]]:
     """(name, value, start, end, quoted) of each assignment; the places are the value's."""
-    lexed, out, i = _Lexed(text), [], 0
+    lexed, out, i = lexed or _Lexed(text), [], 0
     while i < len(lexed.tokens):
         following = i + 1
         if lexed.kind(i) == "set" and (name := lexed.assigned(i)):
@@ -209,10 +230,9 @@ def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of literals that a sensitive name takes, directly or by constants."""
-    found = pairs(text)
-    names: dict[str, float] = {}
-    for name, *_ in found:
-        names[name] = sensitivity(name)
+    lexed = _Lexed(text)
+    found = pairs(text, lexed)
+    names = {name: lexed.weight(name) for name, *_ in found}
     behind: dict[str, list[str]] = {}
     for name, value, _, _, quoted in found:
         if not quoted and _NAME.match(value) and value in names:

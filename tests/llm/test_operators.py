@@ -255,3 +255,35 @@ def test_sharding_compacts_whatever_the_partitions(spark, tmp_path):
             sharding.ShardStore._commit = own
         assert len(made) > 1 and len(made[0]) >= 4 > len(made[-1]) and max(made[0]) < 8 << 20, (n, made)
         assert sorted((r.doc_id, r.n_code_points) for r in found) == [(i, 519) for i in range(30_000)] and {r.shard for r in found} == set(range(len(made[-1])))
+
+
+LITERAL = "q7Xv-R2m9_Lz4KtB8wNp"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "password = choose(" + "'a', " * 400 + f"'{LITERAL}')",
+        "token = (" + "1, 2, [3], " * 5000 + f"'{LITERAL}')",
+        f"password: Dict[{'Optional.Of[a][b] | ' * 40} str] = '{LITERAL}'",
+        f'"{"outer." * 40}password": "{LITERAL}"',
+        "x:\n" + " " * 300 + "password: |\n" + " " * 304 + f"{LITERAL}\n" + " " * 300 + "other: 1",
+        f"db['password' ] = '{LITERAL}'",
+        f"`password` = '{LITERAL}'",
+        f"password \\\n  = '{LITERAL}'",
+        f"password = '{LITERAL}'\nkey: |",
+    ],
+)
+def test_secrets_at_any_distance(spark, text):
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    places = [s.split(":") for s in found.split(",") if s.startswith("pair:")]
+    assert [text[int(a) : int(b)] for _, a, b in places] == [LITERAL]
+
+
+@pytest.mark.parametrize("text", ["password = (" * 100_000, "password(" * 200_000 + " = (" * 100_000, "k: " + "a = " * 300_000, f"{'key' * 200_000}: " + "a = " * 20_000, f"'{'k' * 500_000}': " + "b = c " * 100_000, "token = f(" + "'a' " * 300_000, " " * 500_000 + "key: |\n" + " " * 500_001 + "a\n", "key: |\n" * 100_000])
+def test_secrets_without_caps_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    secrets.lexed_spans(text)
+    assert time.perf_counter() - began < 20
