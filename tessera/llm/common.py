@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -114,6 +115,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers live on through stages, and two share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:  # glibc
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """``batch`` in consecutive parts of about ``limit`` bytes of ``column``.
 
@@ -126,7 +137,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
         yield batch.slice(int(a), int(b - a))
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -31,6 +31,42 @@ ROWS_PER_BUCKET = 1024
 MEMORY = 3_000_000
 
 
+#: New words are sorted into the others in lots of so many.
+LOT = 1 << 17
+#: Words encoded at once: an encoding takes some hundreds of bytes until its ids are read.
+ENCODED = 4096
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... ``counts[0]`` numbers, then those from starts[1] on, and so forth."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+class _Known:
+    """Ids of words by the sorted hashes of the words."""
+
+    def __init__(self):
+        self.words, self.starts, self.counts, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
+
+    def add(self, words: np.ndarray, starts: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        """``words``, none of them known."""
+        words = np.concatenate([self.words, words])
+        order = np.argsort(words, kind="stable")
+        self.words = words[order]
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])[order]
+        self.counts = np.concatenate([self.counts, counts.astype(np.int32)])[order]
+        self.flat = np.concatenate([self.flat, flat])
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of those that are known, their counts, their ids one behind the other)."""
+        if not len(self.words):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), self.flat[:0]
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        have = np.flatnonzero(self.words[at] == words)
+        counts = self.counts[at[have]].astype(np.int64)
+        return have, counts, self.flat[_ranges(self.starts[at[have]], counts)]
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that white space separates.
 
@@ -44,35 +80,36 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = np.zeros(0, dtype=np.uint64)  # sorted hashes of words
-        self.starts, self.counts, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        self.known, self.lately = _Known(), _Known()
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return counts, np.fromiter((x for e in ids for x in e), dtype=np.uint32, count=int(counts.sum()))
+        counts, flat = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+        for a in range(0, len(words), ENCODED):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + ENCODED], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            flat.append(np.fromiter((x for e in ids for x in e), dtype=np.uint32, count=int(counts[-1].sum())))
+        return np.concatenate(counts), np.concatenate(flat)
 
     def _look_up(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, counts, flat) of the ids of each word."""
         words = vocabulary.to_pylist()
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(words))
-        at = np.searchsorted(self.known, h)
-        have = np.zeros(len(h), dtype=bool)
-        inside = at < len(self.known)
-        have[inside] = self.known[at[inside]] == h[inside]
-        new = np.flatnonzero(~have)
+        new, found = np.arange(len(h)), []
+        for known in (self.known, self.lately):
+            have, counts, flat = known.find(h[new])
+            found.append((new[have], counts, flat))
+            new = np.delete(new, have)
         counts, flat = self._encoded([words[i] for i in new])
-        starts = np.cumsum(counts) - counts + len(self.flat)
+        if len(self.known.words) + len(self.lately.words) + len(new) <= MEMORY:
+            self.lately.add(h[new], np.cumsum(counts) - counts, counts, flat)
+            if len(self.lately.words) > LOT:
+                own, self.lately = self.lately, _Known()
+                self.known.add(own.words, own.starts, own.counts, own.flat)
+        found.append((new, counts, flat))
+        place, counts, flat = (np.concatenate(x) for x in zip(*found))
         all_starts, all_counts = np.empty(len(h), dtype=np.int64), np.empty(len(h), dtype=np.int64)
-        all_starts[new], all_counts[new] = starts, counts
-        all_starts[have], all_counts[have] = self.starts[at[have]], self.counts[at[have]]
-        joined = np.concatenate([self.flat, flat])
-        if len(self.known) + len(new) <= MEMORY:
-            self.flat = joined
-            known = np.concatenate([self.known, h[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.starts, self.counts = known[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
-        return all_starts, all_counts, joined
+        all_starts[place], all_counts[place] = np.cumsum(counts) - counts, counts
+        return all_starts, all_counts, flat
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts."""
@@ -82,8 +119,7 @@ class WordTokenizer:
         ends = np.concatenate([[0], np.cumsum(n)])
         if not ends[-1]:
             return np.zeros(len(texts) + 1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
-        pick = np.arange(ends[-1]) + np.repeat(starts[words.ids] - ends[:-1], n)
-        return ends[words.offsets], flat[pick]
+        return ends[words.offsets], flat[_ranges(starts[words.ids], n)]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

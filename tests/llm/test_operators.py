@@ -287,3 +287,44 @@ def test_secrets_without_caps_take_linear_time(text):
     began = time.perf_counter()
     secrets.lexed_spans(text)
     assert time.perf_counter() - began < 20
+
+
+def test_workers_hold_little_memory():
+    """Memory of a worker's process: what it keeps after a stage, and what n-grams take at most."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import re, random, numpy as np, pyarrow as pa
+from tessera.llm import packing, toxicity
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+r = random.Random(3)
+texts = [" ".join("".join(r.choices("abcdefghijklmnop", k=7)) if j % 3 else "plain" for j in range(500)) for i in range(1000)]
+batch = lambda own: pa.RecordBatch.from_arrays([pa.array(range(len(own))), pa.array(own), pa.array([i % 3 == 0 for i in range(len(own))])], names=["doc_id", "text", "positive"])
+before, most = held(), 0
+for out in toxicity._gram_counts([batch(texts)]):
+    most = max(most, held())
+own = held() - before
+for _ in packing._pieces([batch(texts)], None, 2048, 0, False):
+    pass
+print(most - before, own, held() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], check=True)
+    most, after_grams, after_pieces = map(int, done.stdout.split())
+    assert most < 150 and after_grams < 100 and after_pieces < 130, done.stdout
+
+
+def test_words_are_remembered_in_lots(monkeypatch):
+    monkeypatch.setattr(packing, "LOT", 50)
+    monkeypatch.setattr(packing, "ENCODED", 7)
+    monkeypatch.setattr(packing, "MEMORY", 400)
+    import pyarrow as pa
+
+    own = packing.WordTokenizer(packing.tokenizer_path())
+    texts = [" ".join(f"wörd{(i * j) % 97} {j}é x{i}" for j in range(i % 13)) for i in range(120)]
+    for a in range(0, 120, 10):
+        offsets, ids = own.encode(pa.array(texts[a : a + 10], pa.large_string()))
+        assert [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:])] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[a : a + 10]]
+    assert len(own.known.words) > 50 and len(own.known.words) + len(own.lately.words) <= 400
